@@ -9,19 +9,23 @@ verified exactly on the shingle sets.
 
 Symbols are 32-bit minima rather than single bits: at a Jaccard similarity of
 0.5 a quarter of all bits differ, so that no segment of bits is both selective
-and almost equal. With 12 segments of 3 symbols a pair of similarity J has an
-equal variant with probability 1 - (1 - J^3 - 3 J^2 (1-J))^12: 0.9998 at 0.5,
-over 0.99999 from 0.6.
+and almost equal. With 16 segments of 3 symbols a pair of similarity J has an
+equal variant with probability 1 - (1 - J^3 - 3 J^2 (1-J))^16: 0.99998 at 0.5.
 
 Scale: texts with equal shingle sets are one class before anything is paired.
-A variant shared by at most BUCKET classes yields its pairs directly; classes
-in larger buckets go through an exact prefix-filter join instead (rarest
-shingles first), so no bucket is truncated and none is paired quadratically
-for the sake of a shared boilerplate line.
+A variant shared by at most BUCKET classes yields its pairs directly. Members
+of larger buckets, which come of boilerplate that many texts share, are
+indexed again under the variant together with every other segment's variants,
+LEVELS levels in all; classes in buckets that are still larger are joined by an exact
+prefix filter (rarest shingles first). No bucket is truncated, and none is
+paired quadratically for a shared line's sake. Before texts are fetched for
+the exact check, pairs that agree in fewer symbols than four standard
+deviations below the threshold's mean are dropped (probability 0.00002).
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -32,7 +36,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import materialize
 from .words import hashed_batch, mix, window_hashes
 
-SHINGLE, SEGMENTS, WIDTH, BUCKET = 5, 12, 3, 200
+SHINGLE, SEGMENTS, WIDTH, BUCKET, LEVELS = 5, 16, 3, 12, 2
 _rng = np.random.default_rng(20240607)
 XORS = _rng.integers(0, 2**64, SEGMENTS * WIDTH, dtype=np.uint64)
 BASE_XOR = np.uint64(0xD6E8FEB86659FD93)
@@ -87,12 +91,12 @@ def shingle_sets(df: DataFrame, key: str, text: str, ids: DataFrame) -> DataFram
 
 
 def _variants(symbols: Column) -> Column:
-    """One key for each segment and wildcard position."""
+    """One key for each segment and wildcard position, with the segment's bit."""
     keys = []
     for g in range(SEGMENTS):
         for gone in range(WIDTH):
             kept = [symbols[g * WIDTH + j] for j in range(WIDTH) if j != gone]
-            keys.append(F.xxhash64(F.lit(g * WIDTH + gone), *kept))
+            keys.append(F.struct(F.xxhash64(F.lit(g * WIDTH + gone), *kept).alias("v"), F.lit(1 << g).alias("used")))
     return F.array(*keys)
 
 
@@ -109,29 +113,92 @@ def _prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     return prefix.join(other, "h").where(F.col("id") < F.col("b")).where(near).select(F.col("id").alias("a"), "b").distinct()
 
 
-def class_links(df: DataFrame, key: str, text: str, threshold: float, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
+def _bucket_pairs(cap: int):
+    """Rows (v, id, used) sorted by v -> (a, b, used): pairs of a bucket of at most cap rows with used 0, or its rows (v, id, used)."""
+
+    def table(a, b, used) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(used, pa.int32())], ["a", "b", "used"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = [np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int32)]
+        held, large = none, None  # rows of a bucket that may go on; the key of one known to be too large
+        for batch in itertools.chain(batches, [None]):
+            v, ids, used = none if batch is None else (batch.column(i).to_numpy() for i in range(3))
+            if batch is not None and not len(v):
+                continue
+            if large is not None:  # its rows pass through
+                same = int(np.searchsorted(v, large, side="right")) if len(v) and v[0] == large else 0
+                if same:
+                    yield table(v[:same], ids[:same], used[:same])
+                v, ids, used = v[same:], ids[same:], used[same:]
+                if not len(v) and batch is not None:
+                    continue
+                large = None
+            v, ids, used = (np.concatenate(x) for x in zip(held, (v, ids, used)))
+            held = none
+            if not len(v):
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+            sizes = np.diff(np.append(starts, len(v)))
+            if batch is not None:
+                last = starts[-1]
+                if sizes[-1] > cap:
+                    large = v[last]
+                    yield table(v[last:], ids[last:], used[last:])
+                else:
+                    held = [v[last:], ids[last:], used[last:]]
+                v, ids, used, starts, sizes = v[:last], ids[:last], used[:last], starts[:-1], sizes[:-1]
+            a, b = [], []
+            for n in np.unique(sizes[(sizes > 1) & (sizes <= cap)]).tolist():
+                first = starts[sizes == n]
+                for i in range(n):
+                    for j in range(i + 1, n):
+                        x, y = ids[first + i], ids[first + j]
+                        a.append(np.minimum(x, y))
+                        b.append(np.maximum(x, y))
+            if a:
+                a, b = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+                a, b = a[a < b], b[a < b]
+                yield table(a, b, np.zeros(len(a), dtype=np.int32))
+            over = np.repeat(sizes > cap, sizes)
+            if over.any():
+                yield table(v[over], ids[over], used[over])
+
+    return run
+
+
+def _met(posts: DataFrame, cap: int) -> DataFrame:
+    met = posts.select("v", "id", "used").repartition("v").sortWithinPartitions("v").mapInArrow(_bucket_pairs(cap), "a bigint, b bigint, used int")
+    return materialize(met, "met")
+
+
+def class_links(df: DataFrame, key: str, text: str, threshold: float, bucket: int = BUCKET, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
     """(members, links): members(id, rep) of every text with words; links(a, b, jaccard), a < b, between representatives.
 
     Links join different shingle sets of Jaccard similarity >= threshold.
     Null and wordless texts have no row; rows repeated under one id count once.
     """
-    signed = signatures(df, key, text)
-    signed = materialize(signed, "signatures")
+    signed = materialize(signatures(df, key, text), "signatures")
     reps = signed.groupBy("c1", "c2").agg(F.min("id").alias("rep"))
     members = signed.select("id", "c1", "c2").join(reps, ["c1", "c2"]).select("id", "rep").distinct()
-    heads = signed.groupBy("c1", "c2").agg(F.min_by(F.struct("id", "symbols"), "id").alias("m")).select(F.col("m.id").alias("id"), F.col("m.symbols").alias("symbols"))
-    posts = heads.select("id", F.explode(_variants(F.col("symbols"))).alias("v"))
-    buckets = posts.groupBy("v").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("n > 1")
-    buckets = materialize(buckets, "buckets")
-    small = buckets.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    listed = posts.join(buckets.where(F.col("n").between(3, bucket)).select("v"), "v").groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("l"))
-    later = F.transform(F.col("l"), lambda x, i: F.struct(x.alias("a"), F.slice(F.col("l"), i + 2, F.size("l")).alias("bs")))
-    middle = listed.select(F.explode(later).alias("p")).select("p.a", F.explode("p.bs").alias("b"))
-    pairs = small.unionByName(middle)
-    if not buckets.where(F.col("n") > bucket).isEmpty():
-        crowd = posts.join(buckets.where(F.col("n") > bucket).select("v"), "v").select("id").distinct()
-        pairs = pairs.unionByName(_prefix_pairs(shingle_sets(df, key, text, crowd), threshold))
-    pairs = materialize(pairs.distinct(), "pairs")
+    heads = signed.join(reps.select("c1", "c2", F.col("rep").alias("id")), ["c1", "c2", "id"], "left_semi").select("id", "symbols")
+    level = _met(heads.select("id", F.explode(_variants(F.col("symbols"))).alias("p")).select("id", "p.v", "p.used"), bucket)
+    pairs = level.where("used = 0").select("a", "b")
+    for _ in range(1, levels):
+        large = level.where("used <> 0").select(F.col("a").alias("v"), F.col("b").alias("id"), "used").distinct()
+        other = F.explode(F.filter(_variants(F.col("symbols")), lambda p: p["used"].bitwiseAND(F.col("used")) == 0)).alias("p")
+        again = large.join(heads, "id").select("id", "v", "used", other)
+        level = _met(again.select("id", F.col("v").bitwiseXOR(F.col("p.v")).alias("v"), F.col("used").bitwiseOR(F.col("p.used")).alias("used")), bucket)
+        pairs = pairs.unionByName(level.where("used = 0").select("a", "b"))
+    symbols = SEGMENTS * WIDTH
+    least = math.floor(symbols * threshold - 4 * math.sqrt(symbols * threshold * (1 - threshold)))
+    agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
+    sides = [heads.select(F.col("id").alias(i), F.col("symbols").alias(f"s{i}")) for i in "ab"]
+    pairs = pairs.distinct().join(sides[0], "a").join(sides[1], "b").where(agree >= least).select("a", "b")
+    over = level.where("used <> 0").select(F.col("b").alias("id")).distinct()
+    if not over.isEmpty():
+        pairs = pairs.unionByName(_prefix_pairs(shingle_sets(df, key, text, over), threshold)).distinct()
+    pairs = materialize(pairs, "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = shingle_sets(df, key, text, wanted).dropDuplicates(["id"])
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
@@ -140,9 +207,9 @@ def class_links(df: DataFrame, key: str, text: str, threshold: float, bucket: in
     return members, links
 
 
-def similar_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.8, bucket: int = BUCKET) -> DataFrame:
+def similar_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.8, bucket: int = BUCKET, levels: int = LEVELS) -> DataFrame:
     """Every pair (doc_id_a, doc_id_b), smaller id first, of similarity >= threshold, copies included."""
-    members, links = class_links(df, key, text, threshold, bucket)
+    members, links = class_links(df, key, text, threshold, bucket, levels)
     members = materialize(members, "members")
     crowded = members.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select("rep")
     copies = members.join(crowded, "rep")
@@ -174,9 +241,9 @@ def components(edges: DataFrame) -> DataFrame:
         before = tuple(now)
 
 
-def version_groups(df: DataFrame, key: str, text: str, threshold: float = 0.8, bucket: int = BUCKET) -> DataFrame:
+def version_groups(df: DataFrame, key: str, text: str, threshold: float = 0.8, bucket: int = BUCKET, levels: int = LEVELS) -> DataFrame:
     """(doc_id, class_id, group_id, n_links): group_id is the least id of the chained versions, n_links counts links of the class."""
-    members, links = class_links(df, key, text, threshold, bucket)
+    members, links = class_links(df, key, text, threshold, bucket, levels)
     links = materialize(links.select("a", "b"), "links")
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     roots = components(links).select(F.col("id").alias("rep"), "root")
