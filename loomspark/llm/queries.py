@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
-from . import bpe, leak, neardup
+from . import bpe, leak, mojibake, neardup, sitelines, splitting
 
 
 def _texts(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
@@ -20,6 +20,31 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.version_groups(_texts(spark, sf_dir), "doc_id", "text", 0.5)
 
 
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_texts(_texts(spark, sf_dir), "doc_id", "text")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_pieces(spark, sf_dir).where("piece_no = 2").select("doc_id")
+
+
+def _site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitelines.site_lines(_texts(spark, sf_dir, "url"), "doc_id", "text", "url", table(spark, sf_dir, "news_site", "domain"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _site_lines(spark, sf_dir)
+    return sitelines.repeated_lines(lines, sitelines.repeated_blocks(lines))
+
+
+def p3_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitelines.repeated_blocks(_site_lines(spark, sf_dir))
+
+
+def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitelines.without_lines(_texts(spark, sf_dir), "doc_id", "text", p3_found(spark, sf_dir))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(_texts(spark, sf_dir), "doc_id", "text")
 
@@ -38,11 +63,27 @@ def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.leaks(_tiles(spark, sf_dir))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.garbled(_texts(spark, sf_dir, "source"), "doc_id", "text", "source")[0].select("doc_id")
+
+
+def p9_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _texts(spark, sf_dir, "source")
+    return mojibake.repairs(docs, "doc_id", "text", *mojibake.garbled(docs, "doc_id", "text", "source"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
+    "p2_found": p2_found,
+    "p2_pieces": p2_pieces,
+    "p3_found": p3_found,
+    "p3_blocks": p3_blocks,
+    "p3_clean": p3_clean,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,
+    "p9_found": p9_found,
+    "p9_repaired": p9_repaired,
 }
 ORACLE: dict[str, str] = {}
