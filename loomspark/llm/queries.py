@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
-from . import bpe, leak, mojibake, neardup, sitelines, splitting
+from . import bpe, langid, leak, mojibake, neardup, sitelines, splitting
 
 
 def _texts(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
@@ -45,6 +45,17 @@ def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitelines.without_lines(_texts(spark, sf_dir), "doc_id", "text", p3_found(spark, sf_dir))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _texts(spark, sf_dir, "lang")
+    return langid.wrong_labels(docs, "doc_id", "text", "lang", langid.train(docs, "doc_id", "text", "lang"))
+
+
+def p4_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _texts(spark, sf_dir, "lang")
+    model = langid.train(docs, "doc_id", "text", "lang")
+    return langid.segments(langid.line_languages(docs, "doc_id", "text", model))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(_texts(spark, sf_dir), "doc_id", "text")
 
@@ -80,6 +91,8 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_blocks": p3_blocks,
     "p3_clean": p3_clean,
+    "p4_found": p4_found,
+    "p4_segments": p4_segments,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,
