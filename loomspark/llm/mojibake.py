@@ -261,27 +261,18 @@ def garbled(df: DataFrame, key: str, text: str, source: str, rounds: int = 5) ->
     ratios = materialize(rows.where("text is not null").mapInArrow(_ratios(counts), "id bigint, source string, ratios array<double>"), "ratios")
     totals = materialize(totals, "sources")
     every = totals.agg(F.sum("docs")).first()[0] or 0
-    start = 0.002
-    shares = None
+    shares = totals.select("source", F.array_repeat(F.lit(0.002), LOST + 1).alias("shares"))
     for _ in range(rounds):
-        if shares is None:
-            placed = ratios.withColumn("shares", F.array_repeat(F.lit(start), LOST + 1))
-        else:
-            placed = ratios.join(shares, "source")
-        placed = _posterior(placed)
-        sums = placed.select("source", F.posexplode("post").alias("k", "r")).groupBy("source", "k").agg(F.sum("r").alias("r"))
-        whole = sums.groupBy("k").agg(F.sum("r").alias("r"))
-        prior = F.array(*[F.lit(p) for p in _corpus_shares(whole, every)])
+        sums = ratios.join(shares, "source").select("source", "ratios", "shares").mapInArrow(_expected, "source string, r array<double>")
+        sums = sums.select("source", F.posexplode("r").alias("k", "r")).groupBy("source", "k").agg(F.sum("r").alias("r"))
+        sums = materialize(sums, "sums")  # one row per source and chain
+        prior = F.array(*[F.lit(p) for p in _corpus_shares(sums.groupBy("k").agg(F.sum("r").alias("r")), every)])
         own = sums.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("k", "r"))).alias("m"))
         # a source weighs as its documents, the corpus as 200 more
-        share = F.transform(prior, lambda p, k: (F.coalesce(F.get(F.col("l"), k), F.lit(0.0)) + 200 * p) / (F.col("docs") + 200))
-        listed = F.transform(F.sequence(F.lit(0), F.lit(LOST)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0)))
-        shares = totals.join(own.select("source", listed.alias("l")), "source").select("source", share.alias("shares"))
-        shares = materialize(shares, "shares")
-    placed = _posterior(ratios.join(shares, "source"))
-    top = F.array_position("post", F.array_max("post")).cast("int") - 1
-    found = placed.withColumn("clean", 1 - F.aggregate("post", F.lit(0.0), lambda a, x: a + x)).where("clean < 0.5")
-    return found.select(F.col("id").alias("doc_id"), top.alias("chain"), "clean"), counts
+        share = F.transform(prior, lambda p, k: (F.coalesce(F.try_element_at("m", k), F.lit(0.0)) + 200 * p) / (F.col("docs") + 200))
+        shares = totals.join(own, "source").select("source", share.alias("shares"))
+    found = ratios.join(shares, "source").select("id", "ratios", "shares").mapInArrow(_decided, "doc_id bigint, chain int, clean double")
+    return found.where("clean < 0.5"), counts
 
 
 def _corpus_shares(whole: DataFrame, every: int) -> list[float]:
@@ -290,15 +281,33 @@ def _corpus_shares(whole: DataFrame, every: int) -> list[float]:
     return [max(got.get(k, 0.0) / max(every, 1), 1e-6) for k in range(LOST + 1)]
 
 
-def _posterior(placed: DataFrame) -> DataFrame:
-    """Adds post: the posterior share of each chain; what is left to 1 is no garbling."""
-    none = F.log(1 - F.aggregate("shares", F.lit(0.0), lambda a, x: a + x))
-    joint = F.zip_with("ratios", "shares", lambda r, s: F.when(r == 0, F.lit(-1e9)).otherwise(r + F.log(s)))
-    placed = placed.withColumn("joint", joint).withColumn("none", none)
-    placed = placed.withColumn("top", F.greatest(F.array_max("joint"), F.col("none")))
-    placed = placed.withColumn("e", F.transform("joint", lambda j: F.exp(j - F.col("top"))))
-    mass = F.aggregate("e", F.lit(0.0), lambda a, x: a + x) + F.exp(F.col("none") - F.col("top"))
-    return placed.withColumn("mass", mass).withColumn("post", F.transform("e", lambda x: x / F.col("mass")))
+def _posterior(ratios: pa.Array, shares: pa.Array) -> np.ndarray:
+    """Rows x chains: the posterior share of each chain; what is left to 1 is no garbling."""
+    r = ratios.flatten().to_numpy(zero_copy_only=False).reshape(-1, LOST + 1)
+    s = shares.flatten().to_numpy(zero_copy_only=False).reshape(-1, LOST + 1)
+    joint = np.where(r == 0, -1e9, r + np.log(s))
+    none = np.log(np.maximum(1 - s.sum(1, keepdims=True), 1e-6))
+    top = np.maximum(joint.max(1, keepdims=True), none)
+    e = np.exp(joint - top)
+    return e / (e.sum(1, keepdims=True) + np.exp(none - top))
+
+
+def _expected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(source, ratios, shares) -> expected documents per source and chain, summed up over the partition."""
+    sums: dict[str, np.ndarray] = {}
+    for b in batches:
+        post = _posterior(b.column(1), b.column(2))
+        names, at = np.unique(np.array(b.column(0).to_pylist(), dtype=object).astype(str), return_inverse=True)
+        for i, n in enumerate(names):
+            sums[str(n)] = sums.get(str(n), 0) + post[at == i].sum(0)
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["source", "r"])
+
+
+def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        post = _posterior(b.column(1), b.column(2))
+        top = post.argmax(1) if len(post) else np.empty(0)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(top, pa.int32()), pa.array(1 - post.sum(1), pa.float64())], ["doc_id", "chain", "clean"])
 
 
 def _repaired(counts: dict[int, int]):
