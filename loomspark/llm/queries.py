@@ -99,4 +99,28 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_repaired": p9_repaired,
 }
-ORACLE: dict[str, str] = {}
+_W = r"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}]+')"
+ORACLE = {
+    "p1_found": f"""
+with w as (select doc_id, {_W.format(c='text')} as w from documents where text is not null),
+s as (select doc_id, unnest(case when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) end) as g from w where len(w) > 0),
+u as (select distinct doc_id, g from s),
+n as (select doc_id, count(*) as n from u group by doc_id),
+c as (select a.doc_id as doc_id_a, b.doc_id as doc_id_b, count(*) as k from u a join u b on a.g = b.g and a.doc_id < b.doc_id group by all)
+select doc_id_a, doc_id_b from c join n a on a.doc_id = doc_id_a join n b on b.doc_id = doc_id_b where k >= 0.5 * (a.n + b.n - k)""",
+    "p2_found": "select doc_id from documents where length(text) > 1000",
+    "p3_found": r"""
+with d as (select doc_id, text, (select max_by(domain, length(domain)) from news_site where h = domain or ends_with(h, '.' || domain)) as site
+  from (select doc_id, text, lower(regexp_replace(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1), ':\d*$', '')) as h from documents where text is not null and url is not null)),
+l as (select doc_id, site, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as line_no from d where site is not null),
+e as (select doc_id, site, line_no, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[ \t\r]+', ' ', 'g')) as form from l where regexp_matches(line, '\p{L}')),
+c as (select site, form from e group by all having count(distinct doc_id) >= 5)
+select doc_id, line_no from e join c using (site, form)""",
+    "p8_found": f"""
+with p as (select item_id, unnest(list_concat([ground_truth], coalesce(gold_contexts, []))) as t from eval_item),
+pw as (select item_id, {_W.format(c='t')} as w from p where t is not null),
+pg as (select distinct item_id, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i+12], ' '))) as g from pw where len(w) >= 13),
+dw as (select doc_id, {_W.format(c='text')} as w from documents where text is not null),
+dg as (select doc_id, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i+12], ' '))) as g from dw where len(w) >= 13)
+select distinct doc_id, item_id from dg join pg using (g)""",
+}
