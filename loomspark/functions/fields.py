@@ -7,6 +7,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 # fixed values: root codes of the event taxonomy and their labels
 EVENT_ROOTS = {
@@ -163,13 +164,13 @@ def truth(c: Column) -> Column:
     return F.when(t == "true", True).when(t == "false", False)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_text(s: pd.Series) -> pd.Series:
     """Character references decoded; no built-in does it."""
     return s.map(html.unescape, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility composition; no built-in does it."""
     return s.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")

@@ -9,6 +9,7 @@ whole articles; everything before and after is built-in.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,16 +43,13 @@ def fragment(pre: Column, gram: Column, post: Column, pos: Column) -> Column:
     return F.when((pos < 20) & (at > 0), F.substr(s, at + 3)).otherwise(s)
 
 
-def _overlap(head, tail, most: int) -> int:
-    """Longest k <= most with the last k of head equal to the first k of tail."""
-    for k in range(most, 0, -1):
-        if head[len(head) - k :] == tail[:k]:
-            return k
-    return 0
-
-
 def join_fragments(texts: list[str], positions: list[int], how: Assembly = CANONICAL) -> str:
-    """Texts in order of position -> one text; what never overlaps is left out."""
+    """Texts in order of position -> one text; what never overlaps is left out.
+
+    The longest overlap wins, of equal ones the fragment that comes first, and
+    its appending over its prepending. Open fragments are indexed by their
+    first and last unit, so a step looks only at those that can fit.
+    """
     if how.by_word:
         units = [t.split() for t in texts]
         glue = " ".join
@@ -61,24 +59,28 @@ def join_fragments(texts: list[str], positions: list[int], how: Assembly = CANON
     if len(units) < 2:
         return glue(units[0]) if units and not how.by_word else (texts[0] if texts else "")
     whole, start = units[0], positions[0]
-    open_ = [i for i in range(1, len(units)) if not (how.once_per_position and positions[i] == start)]
+    open_ = {i for i in range(1, len(units)) if units[i] and not (how.once_per_position and positions[i] == start)}
+    by_first, by_last = defaultdict(list), defaultdict(list)
+    for i in sorted(open_):
+        by_first[units[i][0]].append(i)
+        by_last[units[i][-1]].append(i)
+    longest = min(how.longest_overlap or 1 << 60, max((len(units[i]) for i in open_), default=0))
+    after = {i for i in open_ if how.window is None or positions[i] + how.window >= start}
+    before = {i for i in open_ if how.window is None or positions[i] - how.window <= start}
     while open_:
-        best, pick, behind = 0, None, True
-        for i in open_:
-            u = units[i]
-            most = min(len(whole), len(u), how.longest_overlap or len(u))
-            if most <= best:
-                continue
-            if how.window is None or positions[i] + how.window >= start:
-                if (k := _overlap(whole, u, most)) > best:
-                    best, pick, behind = k, i, True
-            if how.window is None or positions[i] - how.window <= start:
-                if (k := _overlap(u, whole, most)) > best:
-                    best, pick, behind = k, i, False
+        pick = None
+        for k in range(min(longest, len(whole)), 0, -1):
+            tail, head = whole[len(whole) - k :], whole[:k]
+            a = next((i for i in by_first.get(tail[0], ()) if i in open_ and i in after and units[i][:k] == tail), None)
+            b = next((i for i in by_last.get(head[-1], ()) if i in open_ and i in before and len(units[i]) >= k and units[i][-k:] == head), None)
+            if a is not None or b is not None:
+                behind = b is None or (a is not None and a <= b)
+                pick = a if behind else b
+                break
         if pick is None:
             break
-        whole = whole + units[pick][best:] if behind else units[pick][: len(units[pick]) - best] + whole
-        open_ = [i for i in open_ if i != pick and not (how.once_per_position and positions[i] == positions[pick])]
+        whole = whole + units[pick][k:] if behind else units[pick][: len(units[pick]) - k] + whole
+        open_ -= {i for i in open_ if i == pick or (how.once_per_position and positions[i] == positions[pick])} if how.once_per_position else {pick}
     return glue(whole)
 
 

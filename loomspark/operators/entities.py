@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
 
 def ratio(a: str, b: str) -> float:
@@ -26,7 +27,7 @@ def ratio(a: str, b: str) -> float:
     return 200.0 * common / (len(a) + len(b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b)])
 

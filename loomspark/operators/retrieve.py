@@ -16,6 +16,10 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
 
 
+def _count(items: str, word: str) -> Column:
+    return F.size(F.filter(items, lambda x: x == word))
+
+
 def bm25(df: DataFrame, key: str, text: str, query: list[str], k: int = 100) -> DataFrame:
     """(key, score) of the k best texts for the query words (any of them).
 
@@ -25,7 +29,7 @@ def bm25(df: DataFrame, key: str, text: str, query: list[str], k: int = 100) ->
     """
     words = sorted(set(w.lower() for w in query))
     t = df.where(F.col(text).isNotNull()).select(key, tokens(F.col(text)).alias("t"))
-    counted = t.select(key, F.size("t").alias("dl"), *[F.size(F.filter("t", lambda x, w=w: x == w)).alias(f"tf{i}") for i, w in enumerate(words)])
+    counted = t.select(key, F.size("t").alias("dl"), *[_count("t", w).alias(f"tf{i}") for i, w in enumerate(words)])
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))]).first()
     score = F.lit(0.0)
     for i in range(len(words)):
