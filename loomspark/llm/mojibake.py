@@ -68,9 +68,8 @@ def undo(unit: str, wrong: str, twice: int = 3) -> str | None:
             unit = codecs.charmap_encode(unit, "strict", ENCODERS[wrong])[0].decode("utf-8")
         except UnicodeError:
             return done
-        if not all(map(_usual, unit)) and not GONE.search(unit):
-            return done
-        done = unit
+        if all(map(_usual, unit)):
+            done = unit
         twice -= 1
     return done
 
