@@ -12,10 +12,10 @@ INLINE_DOMAINS = 2_000  # up to so many distinct domains are a literal of the pl
 def with_site(df: DataFrame, url: Column, domains: DataFrame, domain: str = "domain", name: str = "site") -> DataFrame:
     """df with a column ``name``: the site, null where none fits or the URL is null."""
     known = [r[0].lower() for r in domains.select(domain).where(F.col(domain).isNotNull()).distinct().limit(INLINE_DOMAINS + 1).collect()]
-    suffixes = host_suffixes(host(url))
     if len(known) <= INLINE_DOMAINS:
         listed = F.array(*[F.lit(d) for d in sorted(known)]).cast("array<string>")
-        return df.withColumn(name, F.get(F.filter(suffixes, lambda s: F.array_contains(listed, s)), F.lit(0)))
+        rows = df.withColumn("_host", host(url))
+        return rows.withColumn(name, F.get(F.filter(host_suffixes(F.col("_host")), lambda s: F.array_contains(listed, s)), F.lit(0))).drop("_host")
     hosts = df.select(host(url).alias("_host")).where("_host is not null").distinct()
     parts = hosts.select("_host", F.posexplode(host_suffixes(F.col("_host"))).alias("_place", "_suffix"))
     found = parts.join(domains.select(F.lower(domain).alias("_suffix")).distinct(), "_suffix")

@@ -48,7 +48,7 @@ def join_fragments(texts: list[str], positions: list[int], how: Assembly = CANON
 
     The longest overlap wins, of equal ones the fragment that comes first, and
     its appending over its prepending. Open fragments are indexed by their
-    first and last unit, so a step looks only at those that can fit.
+    starts and ends, so a step looks only at those that fit.
     """
     if how.by_word:
         units = [t.split() for t in texts]
@@ -60,19 +60,21 @@ def join_fragments(texts: list[str], positions: list[int], how: Assembly = CANON
         return glue(units[0]) if units and not how.by_word else (texts[0] if texts else "")
     whole, start = units[0], positions[0]
     open_ = {i for i in range(1, len(units)) if units[i] and not (how.once_per_position and positions[i] == start)}
-    by_first, by_last = defaultdict(list), defaultdict(list)
-    for i in sorted(open_):
-        by_first[units[i][0]].append(i)
-        by_last[units[i][-1]].append(i)
     longest = min(how.longest_overlap or 1 << 60, max((len(units[i]) for i in open_), default=0))
-    after = {i for i in open_ if how.window is None or positions[i] + how.window >= start}
-    before = {i for i in open_ if how.window is None or positions[i] - how.window <= start}
+    key = tuple if how.by_word else str
+    starts, ends = defaultdict(list), defaultdict(list)  # every start and end of a fragment up to that length
+    for i in sorted(open_):
+        u, near = units[i], (how.window is None or positions[i] + how.window >= start, how.window is None or positions[i] - how.window <= start)
+        for k in range(1, min(longest, len(u)) + 1):
+            if near[0]:
+                starts[key(u[:k])].append(i)
+            if near[1]:
+                ends[key(u[len(u) - k :])].append(i)
     while open_:
         pick = None
         for k in range(min(longest, len(whole)), 0, -1):
-            tail, head = whole[len(whole) - k :], whole[:k]
-            a = next((i for i in by_first.get(tail[0], ()) if i in open_ and i in after and units[i][:k] == tail), None)
-            b = next((i for i in by_last.get(head[-1], ()) if i in open_ and i in before and len(units[i]) >= k and units[i][-k:] == head), None)
+            a = next((i for i in starts.get(key(whole[len(whole) - k :]), ()) if i in open_), None)
+            b = next((i for i in ends.get(key(whole[:k]), ()) if i in open_), None)
             if a is not None or b is not None:
                 behind = b is None or (a is not None and a <= b)
                 pick = a if behind else b
@@ -127,7 +129,9 @@ def assemble(rows: DataFrame, keys: list[str], how: Assembly = CANONICAL) -> Dat
     when it is 0. Null positions count as 999.
     """
     entry = F.struct(F.coalesce("pos", F.lit(999)).alias("pos"), F.coalesce("sentence", F.lit("")).alias("sentence"), F.substring("date", 1, 10).alias("date"))
-    grouped = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("f"))
+    # joining costs far more than bytes tell: as many parts as the session shuffles to, whatever their size
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped = rows.repartition(parts, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("f"))
     flat = grouped.select(F.struct(*keys).alias("k"), F.col("f.pos").alias("pos"), F.col("f.sentence").alias("s"), F.col("f.date")[0].alias("date"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +146,8 @@ def assemble(rows: DataFrame, keys: list[str], how: Assembly = CANONICAL) -> Dat
 
 def shred(df: DataFrame, key: str, text: str, size: int = 12, step: int = 7) -> DataFrame:
     """(key, pos, sentence): overlapping word windows of a text, for round trips."""
-    w = F.split(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), " ")
-    starts = F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(step))
-    cut = F.transform(starts, lambda i: F.struct(i.alias("pos"), F.array_join(F.slice(w, i + 1, F.lit(size)), " ").alias("sentence")))
-    return df.where(F.col(text) != "").select(key, F.explode(cut).alias("c")).select(key, "c.pos", "c.sentence")
+    # the split is a column of its own: inside the lambda it would be made anew for every window
+    rows = df.where(F.col(text) != "").select(key, F.split(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), " ").alias("_w"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("_w") - 1, F.lit(0)), F.lit(step))
+    cut = F.transform(starts, lambda i: F.struct(i.alias("pos"), F.array_join(F.slice("_w", i + 1, F.lit(size)), " ").alias("sentence")))
+    return rows.select(key, F.explode(cut).alias("c")).select(key, "c.pos", "c.sentence")

@@ -27,12 +27,11 @@ class Packed:
 def fold_values(c: Column, separators: str) -> Column:
     """Raw values of a packed string, quotes still on them; an unclosed quote reaches to the end."""
     pieces = F.split(c, '"', -1)
-    last = F.size(pieces) - 1
     step = lambda acc, x: F.when(
         x["i"] % 2 == 1,
         F.struct(
             acc["done"].alias("done"),
-            F.concat(acc["cur"], F.lit('"'), x["p"], F.when(x["i"] < last, '"').otherwise("")).alias("cur"),
+            F.concat(acc["cur"], F.lit('"'), x["p"], F.lit('"')).alias("cur"),
         ),
     ).otherwise(
         F.struct(
@@ -42,7 +41,9 @@ def fold_values(c: Column, separators: str) -> Column:
     )
     parts = F.transform(pieces, lambda p, i: F.struct(i.alias("i"), p.alias("p"), F.split(p, f"[{separators}]", -1).alias("v")))
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
-    folded = F.aggregate(parts, start, step, lambda acc: F.concat(acc["done"], F.array(acc["cur"])))
+    folded = F.aggregate(parts, start, step)
+    cur = F.when(F.size(pieces) % 2 == 0, F.substr(folded["cur"], F.lit(1), F.length(folded["cur"]) - 1)).otherwise(folded["cur"])  # the last quote was never closed
+    folded = F.concat(folded["done"], F.array(cur))
     # most fields carry no quote at all: one split is the whole fold then
     return F.when(F.contains(c, F.lit('"')), folded).otherwise(F.split(c, f"[{separators}]", -1))
 

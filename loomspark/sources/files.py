@@ -24,7 +24,9 @@ def read_tsv(spark: SparkSession, path: str, names: list[str], columns: list[str
 def read_tsv_strict(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """The same, but lines with too many fields are dropped and short ones padded with null."""
     parts = F.split("value", "\t", -1)
-    lines = spark.read.option("encoding", "ISO-8859-1").text(path).where(F.size(parts) <= len(names)).select(parts.alias("p"))
+    # whole lines through the CSV reader, which knows encodings: its separator here is no Latin-1 character
+    whole = spark.read.option("sep", "\u241f").option("encoding", "ISO-8859-1").option("quote", "").schema("value string").csv(path)
+    lines = whole.where(F.size(parts) <= len(names)).select(parts.alias("p"))
     return lines.select(*[F.nullif(F.get("p", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)])
 
 
