@@ -22,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from .words import slices
+
 # fixed value: the pattern that splits text before the merges of byte_bpe_50k
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -121,14 +123,12 @@ def encoder(path: str):
 def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                lists = [np.array(encode(t), dtype=np.int32) for t in part.column(1).to_pylist()]
-                ends = np.zeros(len(lists) + 1, dtype=np.int32)
-                np.cumsum([len(x) for x in lists], out=ends[1:])
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
+        for batch in slices(batches, 1):
+            lists = [np.array(encode(t), dtype=np.int32) for t in batch.column(1).to_pylist()]
+            ends = np.zeros(len(lists) + 1, dtype=np.int32)
+            np.cumsum([len(x) for x in lists], out=ends[1:])
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
 
     return run
 

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .mojibake import HARD, RUN, SINGLE, UTF8_READ_AS, swap, undo
+from .words import slices
 
 LANGUAGES = ("en", "it", "fr", "de", "es", "pt", "ru")
 TRAIN_DOCS, TRAIN_LINES, CENTROIDS, DIMENSIONS, LINES_AT_ONCE = 1500, 12_000, 4, 2048, 256
@@ -140,7 +141,7 @@ def classify(model: Centroids, lines: list[str]) -> tuple[np.ndarray, np.ndarray
 
 def _lines(model: Centroids, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             lines, numbers, ends = [], [], [0]
             for text in batch.column(1).to_pylist():
                 for number, line in enumerate(text.split("\n") if text else (), 1):
@@ -209,7 +210,7 @@ def _with_given(rows: DataFrame, model: Centroids) -> DataFrame:
     run = _lines(model, MIN_WORDS)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             for out in run(iter([batch])):
                 yield pa.RecordBatch.from_arrays([*out.columns, batch.column(2)], [*out.schema.names, "given"])
 

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .words import words
+from .words import slices, words
 
 TILE_SCHEMA = "doc_id bigint, item_id bigint, passage int, passage_words int, matched_words int, tiles int, longest int"
 RADIX = np.uint64(0x9E3779B97F4A7C15)
@@ -90,7 +90,7 @@ def _tiler(passages: list[tuple[int, int, list[str]]], min_words: int):
     seeds = np.array(sorted(owners), dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             docs, out = batch.column(0).to_pylist(), []
             for doc, text in zip(docs, batch.column(1).to_pylist()):
                 if not text or not len(seeds):

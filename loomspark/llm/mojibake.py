@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
+from .words import slices
 
 UTF8_READ_AS = ("cp1252", "latin_1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "koi8_r", "cp866")
 # (written in, read as) of single-byte encodings
@@ -103,7 +104,7 @@ def plainly_garbled(text: str) -> bool:
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[int, int] = {}
-    for batch in batches:
+    for batch in slices(batches, 0):
         clean = [t for t in batch.column(0).to_pylist() if t and not plainly_garbled(t)]
         totals[0] = totals.get(0, 0) + len(clean)
         for c in itertools.chain.from_iterable(map(set, clean)):
@@ -145,7 +146,7 @@ class PairModel:
         if v is None:
             x, y = min(ord(a), LIMIT), min(ord(b), LIMIT)
             share = 0.05 / 20.0 if self.rare(x) else ((0 if self.rare(y) else self.counts.get(x << 16 | y, 0)) + 0.05) / (self.counts.get(x << 16 | 0xFFFF, 0) + 20.0)
-            if a.isupper() and b.isupper():  # text in capitals is rare but no other text
+            if a.isupper() and not b.islower():  # text in capitals is rare but no other text
                 share += 0.1 * math.exp(self.one(a.lower()[0], b.lower()[0]))
             v = self.memory[a, b] = math.log(share)
         return v
@@ -188,7 +189,7 @@ class Evidence:
             own = self.model.score(framed)
             for k, (written, wrong) in enumerate(SINGLE, len(UTF8_READ_AS)):
                 fixed = swap(word, written, wrong)
-                if fixed is not None and fixed != word and len(word) > 1 and all(map(_usual, fixed)):
+                if fixed is not None and fixed != word and word.isalpha() and (len(word) > 1 or self.model.rare(ord(word))) and all(map(_usual, fixed)):
                     ratio = self.model.score(f" {fixed} ") - own
                     if ratio > 0:
                         got.append((k, ratio, fixed))

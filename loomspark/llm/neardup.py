@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
-from .words import hashed_batch, mix, window_hashes
+from .words import hashed_batch, mix, slices, window_hashes
 
 SHINGLE, SEGMENTS, WIDTH, BUCKET, LEVELS = 5, 12, 3, 16, 2
 _rng = np.random.default_rng(20240607)
@@ -49,7 +49,7 @@ def _shingles(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 1):
         shingles, offsets = _shingles(batch)
         full = np.flatnonzero(np.diff(offsets))
         if not len(full):
@@ -70,7 +70,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 1):
         shingles, offsets = _shingles(batch)
         own = [np.unique(shingles[a:b]).view(np.int64) for a, b in zip(offsets[:-1], offsets[1:])]
         ends = np.zeros(len(own) + 1, dtype=np.int32)

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .words import HASHES, words
+from .words import HASHES, slices, words
 
 SIZE, OVERLAP, BLOCK, DIMENSIONS, UNITS_AT_ONCE = 1000, 100, 3, 256, 2048
 GAP = re.compile(r"(\s*\n\s*\n\s*)|(\s*\n\s*)|([.!?…]+[\"”»’)\]]*\s+)")
@@ -89,7 +89,7 @@ def pieces(text: str | None, size: int = SIZE, overlap: int = OVERLAP) -> list[t
 
 def _cut(size: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             ids, numbers, begins, stops, texts = [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for number, (a, b) in enumerate(pieces(text, size, overlap), 1):

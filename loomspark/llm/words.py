@@ -6,12 +6,16 @@ A word is a longest run of letters or digits (Unicode), lower-cased.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 WORD = re.compile(r"[^\W_]+")
+BATCH_BYTES = 4 << 20  # texts worked on at once
 CACHE_WORDS = 300_000  # a worker forgets its word hashes beyond so many, for memory's sake only
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -23,6 +27,19 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut by rows so that the texts of a part take about ``size`` bytes at most, or are one row."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 class WordHashes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > CACHE_WORDS:
