@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.fields import sigmoid
@@ -71,3 +76,51 @@ def adaptive_cut(df: DataFrame, group: str, rank: str, score: str, limit: int =
     stop = (F.col("p") < 0.25) | F.when(F.col("place").isin(2, 3), F.col("drop") > 0.45).when(F.col("place") >= 4, (F.col("drop") > 0.20) | (F.col("place") > max(limit, 4))).otherwise(False)
     cut = p.withColumn("stopped", F.max(stop.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return cut.where("stopped = 0").select(*df.columns, F.round("p", 6).alias("p"))
+
+
+def text_index(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(postings(term, key, tf), lengths(key, dl)): the tables of a lexical index; df and average length follow from them.
+
+    A posting list of a common term is as long as the corpus; queries filter
+    terms before they join.
+    """
+    t = df.where(F.col(text).isNotNull()).select(key, tokens(F.col(text)).alias("t"))
+    postings = t.select(key, F.explode("t").alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
+    return postings, t.select(key, F.size("t").alias("dl"))
+
+
+def hashing_encoder(dim: int = 64) -> Callable[[list[str | None]], np.ndarray]:
+    """A deterministic stand-in for an embedding model: signed hashed words, unit length."""
+
+    def encode(texts: list[str | None]) -> np.ndarray:
+        out = np.zeros((len(texts), dim), dtype=np.float32)
+        for i, t in enumerate(texts):
+            for w in re.findall(r"[^\W_]+", (t or "").lower()):
+                h = zlib.crc32(w.encode("utf-8", "surrogatepass"))
+                out[i, h % dim] += 1.0 if h & 0x10000 else -1.0
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+    return encode
+
+
+def embed(df: DataFrame, key: str, text: str, encode: Callable[[list[str | None]], np.ndarray] | None = None, at_once: int = 64) -> DataFrame:
+    """(key, vector array<float>) by any encoder of lists of texts, ``at_once`` texts a call; null and empty texts are left out."""
+    encode = encode or hashing_encoder()
+    kind = dict(df.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, at_once):
+                part = b.slice(at, at_once)
+                v = encode(part.column(1).to_pylist()).astype(np.float32)
+                flat = pa.array(v.ravel())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1]), flat)], [key, "vector"])
+
+    return df.where(F.coalesce(F.col(text), F.lit("")) != "").select(key, text).mapInArrow(run, f"{key} {kind}, vector array<float>")
+
+
+def rerank(candidates: DataFrame, group: str, key: str, score: Column | None = None, limit: int = 10) -> DataFrame:
+    """Candidates of each group by a scorer's column, best first, cut adaptively; without a scorer the first ``limit`` by their own score."""
+    w = Window.partitionBy(group).orderBy(F.desc("s"), key)
+    ranked = candidates.withColumn("s", F.col("score") if score is None else score).withColumn("rank", F.row_number().over(w))
+    return ranked.where(F.col("rank") <= limit).drop("s") if score is None else adaptive_cut(ranked, group, "rank", "s", limit).drop("s")
