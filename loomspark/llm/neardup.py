@@ -16,9 +16,9 @@ over 0.99999 from 0.6.
 Scale: texts with equal shingle sets are one class before anything is paired.
 A variant shared by at most BUCKET classes yields its pairs directly. Members
 of larger buckets, which come of boilerplate that many texts share, are
-indexed again under the variant together with every other segment's variants,
-LEVELS levels in all; classes in buckets that are still larger are joined by an exact
-prefix filter (rarest shingles first). No bucket is truncated, and none is
+indexed once more under each two of their crowded variants (LEVELS = 2; a pair
+with a variant in a small bucket is met there); classes in buckets that are
+still larger are joined by an exact prefix filter (rarest shingles first). No bucket is truncated, and none is
 paired quadratically for a shared line's sake. Before texts are fetched for
 the exact check, pairs that agree in fewer symbols than four standard
 deviations below the threshold's mean are dropped (probability 0.00002).
@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
 from .words import hashed_batch, mix, slices, window_hashes
 
 SHINGLE, SEGMENTS, WIDTH, BUCKET, LEVELS = 5, 12, 3, 16, 2
@@ -183,24 +183,28 @@ def class_links(df: DataFrame, key: str, text: str, threshold: float, bucket: in
     heads = signed.groupBy("c1", "c2").agg(F.min(F.struct("id", "symbols")).alias("m"))
     heads = materialize(heads.select("c1", "c2", F.col("m.id").alias("id"), F.col("m.symbols").alias("symbols")), "heads")
     members = signed.select("id", "c1", "c2").join(heads.select("c1", "c2", F.col("id").alias("rep")), ["c1", "c2"]).select("id", "rep").distinct()
-    level = _met(heads.select("id", F.explode(_variants(F.col("symbols"))).alias("p")).select("id", "p.v", "p.used"), bucket)
+    members = materialize(members, "members")
+    discard(signed)
+    first = level = _met(heads.select("id", F.explode(_variants(F.col("symbols"))).alias("p")).select("id", "p.v", "p.used"), bucket)
     pairs = level.where("used = 0").select("a", "b")
-    for _ in range(1, levels):
-        large = level.where("used <> 0").select(F.col("a").alias("v"), F.col("b").alias("id"), "used").distinct()
-        other = F.explode(F.filter(_variants(F.col("symbols")), lambda p: p["used"].bitwiseAND(F.col("used")) == 0)).alias("p")
-        again = large.join(heads.select("id", "symbols"), "id").select("id", "v", "used", other)
-        level = _met(again.select("id", F.col("v").bitwiseXOR(F.col("p.v")).alias("v"), F.col("used").bitwiseOR(F.col("p.used")).alias("used")), bucket)
+    if levels > 1:
+        # a pair that shares a small bucket is met already: only crowded variants are combined, two of different segments
+        large = level.where("used <> 0").groupBy(F.col("b").alias("id")).agg(F.collect_set(F.struct(F.col("a").alias("v"), "used")).alias("l"))
+        other = lambda x: F.filter("l", lambda y: y["used"] > x["used"])
+        both = F.flatten(F.transform("l", lambda x: F.transform(other(x), lambda y: F.struct(x["v"].bitwiseXOR(y["v"]).alias("v"), x["used"].bitwiseOR(y["used"]).alias("used")))))
+        level = _met(large.select("id", F.explode(both).alias("p")).select("id", "p.v", "p.used"), bucket)
         pairs = pairs.unionByName(level.where("used = 0").select("a", "b"))
+    over = level.where("used <> 0").select(F.col("b").alias("id")).distinct()
+    if not over.isEmpty():
+        pairs = pairs.unionByName(_prefix_pairs(shingle_sets(df, key, text, over), threshold))
     symbols = SEGMENTS * WIDTH
     least = math.floor(symbols * threshold - 4 * math.sqrt(symbols * threshold * (1 - threshold)))
     agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
     short = F.transform("symbols", lambda x: (F.pmod(x, F.lit(251)) - 125).cast("tinyint"))
     sides = [heads.select(F.col("id").alias(i), short.alias(f"s{i}")) for i in "ab"]
     pairs = pairs.distinct().join(sides[0], "a").join(sides[1], "b").where(agree >= least).select("a", "b")
-    over = level.where("used <> 0").select(F.col("b").alias("id")).distinct()
-    if not over.isEmpty():
-        pairs = pairs.unionByName(_prefix_pairs(shingle_sets(df, key, text, over), threshold)).distinct()
     pairs = materialize(pairs, "pairs")
+    discard(heads, first, level)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = shingle_sets(df, key, text, wanted).dropDuplicates(["id"])
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
@@ -212,7 +216,6 @@ def class_links(df: DataFrame, key: str, text: str, threshold: float, bucket: in
 def similar_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.8, bucket: int = BUCKET, levels: int = LEVELS) -> DataFrame:
     """Every pair (doc_id_a, doc_id_b), smaller id first, of similarity >= threshold, copies included."""
     members, links = class_links(df, key, text, threshold, bucket, levels)
-    members = materialize(members, "members")
     crowded = members.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select("rep")
     copies = members.join(crowded, "rep")
     within = copies.alias("x").join(copies.alias("y"), "rep").where("x.id < y.id").select(F.col("x.id").alias("doc_id_a"), F.col("y.id").alias("doc_id_b"))
