@@ -50,7 +50,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._loomspark_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of materialize() that nothing reads any more."""
+    for t in tables:
+        path, spark = getattr(t, "_loomspark_path", None), t.sparkSession
+        if path:
+            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def ship_package(spark: SparkSession) -> None:
