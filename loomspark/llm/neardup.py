@@ -20,8 +20,8 @@ indexed once more under each two of their crowded variants (LEVELS = 2; a pair
 with a variant in a small bucket is met there); classes in buckets that are
 still larger are joined by an exact prefix filter (rarest shingles first). No bucket is truncated, and none is
 paired quadratically for a shared line's sake. Before texts are fetched for
-the exact check, pairs that agree in fewer symbols than four standard
-deviations below the threshold's mean are dropped (probability 0.00002).
+the exact check, pairs that agree in fewer symbols than 3.8 standard
+deviations below the threshold's mean are dropped (probability 0.00004).
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import discard, materialize
 from .words import hashed_batch, mix, slices, window_hashes
 
-SHINGLE, SEGMENTS, WIDTH, BUCKET, LEVELS = 5, 12, 3, 16, 2
+SHINGLE, SEGMENTS, WIDTH, BUCKET, LEVELS, DOUBT = 5, 12, 3, 16, 2, 0.02
 _rng = np.random.default_rng(20240607)
 XORS = _rng.integers(0, 2**64, SEGMENTS * WIDTH, dtype=np.uint64)
 BASE_XOR = np.uint64(0xD6E8FEB86659FD93)
@@ -69,14 +69,21 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, 1):
-        shingles, offsets = _shingles(batch)
-        own = [np.unique(shingles[a:b]).view(np.int64) for a, b in zip(offsets[:-1], offsets[1:])]
-        ends = np.zeros(len(own) + 1, dtype=np.int32)
-        np.cumsum([len(x) for x in own], out=ends[1:])
-        flat = np.concatenate(own) if own else np.empty(0, dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "s"])
+def _sets(short: bool):
+    """(id, text) -> (id, s): the shingle set, as halves of the hashes when short."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            shingles, offsets = _shingles(batch)
+            if short:
+                shingles = (shingles >> np.uint64(32)).astype(np.uint32)
+            own = [np.unique(shingles[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
+            ends = np.zeros(len(own) + 1, dtype=np.int32)
+            np.cumsum([len(x) for x in own], out=ends[1:])
+            flat = np.concatenate(own).view(np.int32 if short else np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "s"])
+
+    return run
 
 
 def signatures(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -85,10 +92,10 @@ def signatures(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(_signed, "id bigint, c1 bigint, c2 bigint, symbols array<int>")
 
 
-def shingle_sets(df: DataFrame, key: str, text: str, ids: DataFrame) -> DataFrame:
-    """(id, s) for the texts whose id is in ids(id)."""
+def shingle_sets(df: DataFrame, key: str, text: str, ids: DataFrame, short: bool = False) -> DataFrame:
+    """(id, s) for the texts whose id is in ids(id); short: 32 bits a shingle."""
     rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where("text is not null")
-    return rows.join(ids, "id", "left_semi").mapInArrow(_sets, "id bigint, s array<bigint>")
+    return rows.join(ids, "id", "left_semi").mapInArrow(_sets(short), f"id bigint, s array<{'int' if short else 'bigint'}>")
 
 
 def _variants(symbols: Column) -> Column:
@@ -102,16 +109,31 @@ def _variants(symbols: Column) -> Column:
 
 
 def _prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """Exact candidates (a, b) among sets(id, s): they share one of their rarest n - ceil(t n) + 1 shingles."""
+    """Exact candidates (a, b) among sets(id, s).
+
+    Shingles are ordered rarest first. Of two similar sets the shorter one's
+    first n - ceil(2t/(1+t) n) + 1 and the longer one's first n - ceil(t n) + 1
+    share a shingle, at places that leave room for the overlap that t asks
+    for. A set that is half boilerplate shows none of it in the short prefix,
+    so a line that many texts share brings no pairs of its own.
+    """
     posts = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("h"))
     counts = posts.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     shared = posts.join(counts, "h").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("l"))
-    # shingles of one text only come first in the order and match nothing
-    kept = F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1 - (F.col("n") - F.size("l"))
-    prefix = shared.withColumn("k", kept.cast("int")).where("k > 0").select("id", "n", F.explode(F.slice("l", F.lit(1), F.col("k"))["h"]).alias("h"))
-    other = prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "h")
-    near = (F.col("n") * threshold <= F.col("nb")) & (F.col("nb") * threshold <= F.col("n"))
-    return prefix.join(other, "h").where(F.col("id") < F.col("b")).where(near).select(F.col("id").alias("a"), "b").distinct()
+    alone = F.col("n") - F.size("l")  # shingles of one text only come first and match nothing
+
+    def prefix(share: float) -> DataFrame:
+        length = (F.col("n") - F.ceil(F.col("n") * F.lit(share) - 1e-9) + 1 - alone).cast("int")
+        rows = shared.withColumn("alone", alone).withColumn("k", length).where("k > 0")
+        return rows.select("id", "n", "alone", F.posexplode(F.slice("l", F.lit(1), F.col("k"))["h"]).alias("p", "h")).withColumn("p", F.col("p") + F.col("alone")).drop("alone")
+
+    x = prefix(threshold).alias("x")
+    y = prefix(2 * threshold / (1 + threshold)).alias("y")
+    longer = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id")))
+    near = F.col("x.n") * threshold <= F.col("y.n")
+    room = F.least(F.col("x.n") - F.col("x.p"), F.col("y.n") - F.col("y.p")) >= threshold / (1 + threshold) * (F.col("x.n") + F.col("y.n")) - 1e-9
+    met = x.join(y, (F.col("x.h") == F.col("y.h")) & longer & near & room)
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
 def _bucket_pairs(cap: int):
@@ -173,6 +195,15 @@ def _met(posts: DataFrame, cap: int) -> DataFrame:
     return materialize(met, "met")
 
 
+def _compared(df: DataFrame, key: str, text: str, pairs: DataFrame, short: bool) -> DataFrame:
+    """(a, b, jaccard) of pairs(a, b)."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = shingle_sets(df, key, text, wanted, short).dropDuplicates(["id"])
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    counted = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("m"))
+    return counted.select("a", "b", (F.col("n") / (F.col("m") - F.col("n"))).alias("jaccard"))
+
+
 def class_links(df: DataFrame, key: str, text: str, threshold: float, bucket: int = BUCKET, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
     """(members, links): members(id, rep) of every text with words; links(a, b, jaccard), a < b, between representatives.
 
@@ -198,18 +229,19 @@ def class_links(df: DataFrame, key: str, text: str, threshold: float, bucket: in
     if not over.isEmpty():
         pairs = pairs.unionByName(_prefix_pairs(shingle_sets(df, key, text, over), threshold))
     symbols = SEGMENTS * WIDTH
-    least = math.floor(symbols * threshold - 4 * math.sqrt(symbols * threshold * (1 - threshold)))
+    least = math.ceil(symbols * threshold - 3.8 * math.sqrt(symbols * threshold * (1 - threshold)))
     agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
     short = F.transform("symbols", lambda x: (F.pmod(x, F.lit(251)) - 125).cast("tinyint"))
     sides = [heads.select(F.col("id").alias(i), short.alias(f"s{i}")) for i in "ab"]
     pairs = pairs.distinct().join(sides[0], "a").join(sides[1], "b").where(agree >= least).select("a", "b")
     pairs = materialize(pairs, "pairs")
     discard(heads, first, level)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = shingle_sets(df, key, text, wanted).dropDuplicates(["id"])
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    counted = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("m"))
-    links = counted.select("a", "b", (F.col("n") / (F.col("m") - F.col("n"))).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    # half a hash tells nearly every pair; what it leaves within DOUBT of the threshold is decided by whole ones
+    half = materialize(_compared(df, key, text, pairs, True).where(F.col("jaccard") >= threshold - DOUBT), "links")
+    doubt = half.where(F.abs(F.col("jaccard") - threshold) <= DOUBT)
+    links = half.where(F.col("jaccard") > threshold + DOUBT)
+    if not doubt.isEmpty():
+        links = links.unionByName(_compared(df, key, text, doubt.select("a", "b"), False).where(F.col("jaccard") >= threshold))
     return members, links
 
 
