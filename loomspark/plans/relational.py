@@ -131,7 +131,7 @@ def _rows(spark: SparkSession, d: str) -> DataFrame:
 @query(f"select k, min(gkgrecordid) as gkgrecordid, min_by(coalesce(added, -1), gkgrecordid) as added from ({_ROWS}) group by k")
 def dedup_keep_first(spark: SparkSession, d: str) -> DataFrame:
     """First row per article key in order of record id."""
-    rows = _rows(spark, d).withColumn("added", F.coalesce("added", F.lit(-1))).distinct()
+    rows = _rows(spark, d).withColumn("added", F.coalesce("added", F.lit(-1)))
     return keep_first(rows, "k", "gkgrecordid", "added").select("k", "gkgrecordid", "added")
 
 

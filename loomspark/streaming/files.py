@@ -11,7 +11,13 @@ from ..session import shared_folder
 
 
 def ingest(spark: SparkSession, folder: str, glob: str, schema, per_batch: int = 100, out: str | None = None, state: str | None = None) -> str:
-    """All files that are new since the last call, as Parquet; returns the path. The checkpoint remembers files read."""
+    """All files that are new since the last call, as Parquet; returns the path. The checkpoint remembers files read.
+
+    glob names files of folder, or one directory in it whose Parquet files are read.
+    """
+    inner = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{glob}")
+    if "*" not in glob and inner.getFileSystem(spark._jsc.hadoopConfiguration()).isDirectory(inner):
+        folder, glob = f"{folder}/{glob}", "*.parquet"
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     out, state = out or f"{base}/out", state or f"{base}/state"
     rows = spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", per_batch).parquet(folder)
