@@ -4,7 +4,9 @@ Method: nearest centroid. Lines become L2-normalised TF-IDF vectors of hashed
 character trigrams; each language has several centroids, found by spherical
 k-means; the language of the nearest one by cosine is taken, and nothing where
 the cosine stays below what the language's own lines reach (codes, symbols,
-other languages). Garbled lines are compared in their restored wording.
+other languages). Garbled lines are compared in their restored wording. In a
+text of several languages a line counts for another than the main one only if
+all its runs of words are in it.
 
 The centroids are fitted on at most TRAIN_DOCS labelled documents, chosen by a
 hash of the key; wrong labels among them are left out by comparing every line
@@ -28,7 +30,7 @@ from .words import slices
 
 LANGUAGES = ("en", "it", "fr", "de", "es", "pt", "ru")
 TRAIN_DOCS, TRAIN_LINES, CENTROIDS, DIMENSIONS, LINES_AT_ONCE = 1500, 12_000, 4, 2048, 256
-MIN_WORDS, FLOOR, NEAR, SHARPNESS = 12, 0.6, 0.03, 0.04
+MIN_WORDS, FLOOR, NEAR, SHARPNESS, WINDOW, CLEAR = 12, 0.5, 0.03, 0.04, 8, 0.1
 _CYRILLIC = [p for p in SINGLE if p[0] in ("koi8_r", "cp1251", "cp866")]
 _CLASS = np.full(0x500, 32, dtype=np.uint64)
 for _c in range(0x500):
@@ -139,6 +141,13 @@ def classify(model: Centroids, lines: list[str]) -> tuple[np.ndarray, np.ndarray
     return np.where(rejected, -1, best), cos
 
 
+def partly(model: Centroids, line: str, label: int, other: int) -> bool:
+    """Whether some run of WINDOW words of the line is clearly in the other language."""
+    w = restored(line).split()
+    c = model.cosines([" ".join(w[i : i + WINDOW]) for i in range(0, max(1, len(w) - WINDOW + 1), WINDOW // 2)])
+    return bool((c[:, other] - c[:, label]).max() > CLEAR)
+
+
 def _lines(model: Centroids, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
@@ -157,6 +166,9 @@ def _lines(model: Centroids, min_words: int):
                     main = int(np.bincount(own[own >= 0], weights=chars[a:b][own >= 0]).argmax())
                     close = (own >= 0) & (cos[a:b, main] > cos[np.arange(a, b), np.maximum(own, 0)] - NEAR)
                     label[a:b] = np.where(close, main, own)
+                    for i in range(a, b):  # nor is a line that is partly in the main language wholly in another
+                        if label[i] >= 0 and label[i] != main and partly(model, lines[i], int(label[i]), main):
+                            label[i] = -1
             e = np.exp((cos - cos.max(1, keepdims=True)) / SHARPNESS) if len(lines) else cos
             sure = e[np.arange(len(lines)), np.maximum(label, 0)] / e.sum(1) if len(lines) else np.empty(0)
             names = pa.DictionaryArray.from_arrays(pa.array(label, mask=label < 0), pa.array(LANGUAGES)).cast(pa.string())
