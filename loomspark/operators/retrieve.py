@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.fields import sigmoid
+from ..session import materialize
 
 K1, B = 1.2, 0.75
 WORD = r"[\p{L}\p{N}]+"
@@ -30,11 +31,11 @@ def bm25(df: DataFrame, key: str, text: str, query: list[str], k: int = 100) ->
 
     Term counts of the few query words are taken inside each text, so nothing
     is exploded and only the k best rows are moved; the statistics cover all
-    texts and come back as one row.
+    texts and come back as one row. Texts are read once: the counts are kept.
     """
     words = sorted(set(w.lower() for w in query))
     t = df.where(F.col(text).isNotNull()).select(key, tokens(F.col(text)).alias("t"))
-    counted = t.select(key, F.size("t").alias("dl"), *[_count("t", w).alias(f"tf{i}") for i, w in enumerate(words)])
+    counted = materialize(t.select(key, F.size("t").alias("dl"), *[_count("t", w).alias(f"tf{i}") for i, w in enumerate(words)]), "terms")
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))]).first()
     score = F.lit(0.0)
     for i in range(len(words)):
