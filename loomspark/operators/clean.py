@@ -36,6 +36,15 @@ def clean_texts(df: DataFrame, text: str, site: Column, rules: dict[str, SiteRul
     return df.withColumn(text, F.when(unknown, F.col(text)).otherwise(out)).where(F.coalesce(F.col(text), F.lit("")) != "")
 
 
+def pages_text(pages: DataFrame, key: str, html: str, fallback: Column | None = None, least: int = 150) -> DataFrame:
+    """(key, title, text) of pages; where the text is not longer than ``least``, that of the fallback page, if any; shorter ones are dropped."""
+    text, title = html_main_text(F.col(html)), html_title(F.col(html))
+    if fallback is not None:
+        short = F.coalesce(F.length(text), F.lit(0)) <= least
+        text, title = F.when(short, html_main_text(fallback)).otherwise(text), F.when(short, html_title(fallback)).otherwise(title)
+    return pages.select(key, title.alias("title"), text.alias("text")).where(F.length("text") >= least)
+
+
 def html_title(c: Column) -> Column:
     return F.nullif(F.trim(F.regexp_extract(c, r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(""))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.fields import entity_name, slug
 
@@ -67,6 +67,12 @@ def entity_pairs(mentions: DataFrame, chunk: str, entity: str) -> DataFrame:
     return m.select(chunk, F.col(entity).alias("subject")).join(m.select(chunk, F.col(entity).alias("object")), chunk).where("subject <> object")
 
 
+def valid_triples(triples: DataFrame, relations: list[str]) -> DataFrame:
+    """Triples (subject, relation, object) with both ends and a known relation, distinct."""
+    ends = (F.coalesce(F.trim("subject"), F.lit("")) != "") & (F.coalesce(F.trim("object"), F.lit("")) != "")
+    return triples.where(ends & F.col("relation").isin(relations)).distinct()
+
+
 def super_edges(relations: DataFrame, keep: int = 20) -> DataFrame:
     """(source_id, target_id, relation, max_score, weight, chunk_ids): best distinct chunks by score, then id.
 
@@ -75,8 +81,6 @@ def super_edges(relations: DataFrame, keep: int = 20) -> DataFrame:
     """
     group = ["source_id", "target_id", "relation"]
     per_chunk = relations.groupBy(*group, "chunk_id").agg(F.max("score").alias("score"), F.count("chunk_id").alias("n"))
-    from pyspark.sql import Window
-
     ranked = per_chunk.withColumn("r", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("score"), "chunk_id")))
     kept = F.collect_list(F.when((F.col("r") <= keep) & F.col("chunk_id").isNotNull(), F.struct("r", "chunk_id")))
     out = ranked.groupBy(*group).agg(F.max("score").alias("max_score"), F.sum("n").alias("weight"), kept.alias("l"))

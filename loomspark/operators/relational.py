@@ -34,6 +34,14 @@ def seeded_part(df: DataFrame, key: str, share: float, seed: str) -> DataFrame:
     return df.withColumn("part", F.when(h < F.lit(int(share * 2**32)), "train").otherwise("test"))
 
 
+def merged(*results: DataFrame) -> DataFrame:
+    """Distinct rows of several result sets, as of a question and its translation."""
+    out = results[0]
+    for r in results[1:]:
+        out = out.unionByName(r)
+    return out.distinct()
+
+
 def closure(events: DataFrame, mentions: DataFrame, articles: DataFrame, event_key: str, article_key: str) -> tuple[DataFrame, DataFrame]:
     """(mentions of the events, articles of those mentions)."""
     m = mentions.join(events.select(event_key), event_key, "left_semi")

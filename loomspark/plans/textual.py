@@ -98,9 +98,9 @@ def list_labels(spark: SparkSession, d: str) -> DataFrame:
     return a.select("gkgrecordid", F.col("docidentifier_normalized").alias("k"), fields.list_labels(F.col("allnames")).alias("names"))
 
 
-@query("select gkgrecordid, docidentifier_normalized as k, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(locations, ';'), lambda x: split_part(x, '#', 2)), lambda x: x <> ''))), ';') as places from gdelt_article where locations like '%#%'")
+@query("select gkgrecordid, docidentifier_normalized as k, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(locations, ';'), lambda x: split_part(x, '#', 2)), lambda x: x <> ''))), ';') as places from gdelt_article where locations is not null")
 def location_names(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "gdelt_article", "gkgrecordid", "docidentifier_normalized", "locations").where("locations like '%#%'")
+    a = table(spark, d, "gdelt_article", "gkgrecordid", "docidentifier_normalized", "locations").where("locations is not null")
     return a.select("gkgrecordid", F.col("docidentifier_normalized").alias("k"), fields.location_names(F.col("locations")).alias("places"))
 
 
@@ -182,23 +182,25 @@ def nfkc_titles(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents", "doc_id", "title").select("doc_id", fields.nfkc("title").alias("title"))
 
 
-@query("select doc_id, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as h from documents where text is not null and regexp_full_match(text, '[\\x00-\\x7f]*')")
+_SPACES = r"[\t-\r\x{85}\p{Z}]+"  # what (?U)\s is
+
+
+@query(f"select doc_id, md5(trim(regexp_replace(text, '{_SPACES}', ' ', 'g'))) as h from documents where text is not null")
 def collapse_space(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents", "doc_id", "text").where(F.col("text").rlike(r"^[\x00-\x7f]*$"))
-    return t.select("doc_id", F.md5(F.trim(F.regexp_replace("text", r"[\t\n\f\r ]+", " "))).alias("h"))
+    return table(spark, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", F.md5(fields.collapsed(F.col("text"))).alias("h"))
 
 
 # rules are a parameter of the operator; these fit two of the test sites
 SITE_RULES = {
-    "harborledger.example": clean.SiteRules((r"(?im)^read more from .*$", r"(?im)^updated .*$", r"(?im)^by .* for the harbor ledger.*$"), one_pass=False),
-    "ledger.example": clean.SiteRules((r"(?im)^we use cookies .*$", r"(?im)^by .* for ledger weekly.*$"), one_pass=False),
+    "harborledger.example": clean.SiteRules((r"(?imd)^read more from .*$", r"(?imd)^updated .*$", r"(?imd)^by .* for the harbor ledger.*$")),
+    "ledger.example": clean.SiteRules((r"(?imd)^we use cookies .*$", r"(?imd)^by .* for ledger weekly.*$")),
 }
-_REMOVE = {s: ("".join("regexp_replace(" for _ in r.patterns), "".join(f", '{p}', '', 'g')" for p in r.patterns)) for s, r in SITE_RULES.items()}
+_REMOVE = {s: ("".join("regexp_replace(" for _ in r.patterns), "".join(f", '{p.replace('(?imd)', '(?im)')}', '', 'g')" for p in r.patterns)) for s, r in SITE_RULES.items()}
 
 
-@query("select doc_id, md5(text) as h from (select doc_id, case source " + " ".join(f"when '{s}' then trim(regexp_replace({a}text{b}, '[\\s\\x0b\\x1c-\\x1f\\x85\\p{{Z}}]+', ' ', 'g'))" for s, (a, b) in _REMOVE.items()) + " else text end as text from documents where source in ('harborledger.example', 'ledger.example') and regexp_full_match(text, '[\\x00-\\x7f]*')) where text <> ''")
+@query("select doc_id, md5(text) as h from (select doc_id, case source " + " ".join(f"when '{s}' then trim(regexp_replace({a}text{b}, '{_SPACES}', ' ', 'g'))" for s, (a, b) in _REMOVE.items()) + " else text end as text from documents) where text <> ''")
 def clean_boilerplate(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents", "doc_id", "source", "text").where(F.col("source").isin(*SITE_RULES) & F.col("text").rlike(r"^[\x00-\x7f]*$"))
+    t = table(spark, d, "documents", "doc_id", "source", "text")
     return clean.clean_texts(t, "text", F.col("source"), SITE_RULES).select("doc_id", F.md5("text").alias("h"))
 
 

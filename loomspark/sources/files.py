@@ -94,6 +94,17 @@ def todo_files(listed: DataFrame, done: DataFrame, name: str) -> DataFrame:
     return listed.withColumn("_k", plain).join(done.select(plain.alias("_k")), "_k", "left_anti").drop("_k")
 
 
+def list_files(spark: SparkSession, path: str, pattern: str = "*", least_bytes: int = 0, recursive: bool = True) -> DataFrame:
+    """(path, length, modified) of files by name and size; their contents are not read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).load(path)
+    return found.select("path", "length", F.col("modificationTime").alias("modified")).where(F.col("length") >= least_bytes)
+
+
+def describe(df: DataFrame, sample: int = 3) -> dict[str, list]:
+    """Columns with their types and a few rows: what a query writer is shown."""
+    return {"columns": df.dtypes, "rows": [r.asDict() for r in df.limit(sample).collect()]}
+
+
 def link_list(spark: SparkSession, path: str) -> DataFrame:
     """Third field of each line, where it is a link."""
     third = F.get(F.split(F.trim("value"), r"\s+"), F.lit(2))
@@ -106,6 +117,11 @@ def write_parquet(df: DataFrame, path: str, parts: int | None = None, partition_
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
 
 
+def append_rows(df: DataFrame, path: str) -> None:
+    """Rows added to a table of results."""
+    df.write.mode("append").parquet(path)
+
+
 def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

@@ -358,3 +358,27 @@ def test_fragment_stream(spark, tmp_path):
 def test_windows_on_a_batch(spark):
     df = spark.sql("select * from values (timestamp'2024-01-01 00:10:00', 'a'), (timestamp'2024-01-01 00:50:00', 'a'), (timestamp'2024-01-01 01:00:00', 'a') as t(ts, k)")
     assert sorted(r["n_events"] for r in windowed_counts(df, "ts", "k").collect()) == [1, 2]
+
+
+def test_listing_and_description(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    (tmp_path / "a.json").write_text("12345")
+    (tmp_path / "s" / "b.json").write_text("1")
+    (tmp_path / "c.txt").write_text("12345")
+    assert [r["path"].split("/")[-1] for r in files.list_files(spark, str(tmp_path), "*.json", 2).collect()] == ["a.json"]
+    assert files.list_files(spark, str(tmp_path), "*.json").count() == 2
+    df = spark.createDataFrame([(1,)], "a int")
+    assert files.describe(df) == {"columns": [("a", "int")], "rows": [{"a": 1}]}
+    files.append_rows(df, str(tmp_path / "t"))
+    files.append_rows(df, str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+    assert relational.merged(df, df, spark.createDataFrame([(2,)], "a int")).count() == 2
+
+
+def test_pages_and_triples(spark):
+    long = "<title>t</title><p>" + "word " * 60
+    df = spark.createDataFrame([(1, long, None), (2, "<p>x", long), (3, "<p>x", "<p>y"), (4, None, None)], "k int, html string, again string")
+    assert {r["k"]: r["title"] for r in clean.pages_text(df, "k", "html", F.col("again")).collect()} == {1: "t", 2: "t"}
+    assert [r["k"] for r in clean.pages_text(df, "k", "html").collect()] == [1]
+    t = spark.createDataFrame([("a", "r", "b"), ("a", "r", "b"), (" ", "r", "b"), ("a", "q", "b"), ("a", "r", None)], "subject string, relation string, object string")
+    assert graph.valid_triples(t, ["r"]).collect() == [("a", "r", "b")]
