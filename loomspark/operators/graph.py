@@ -61,10 +61,15 @@ def canonical(entities: DataFrame, order: str) -> DataFrame:
     return entities.groupBy(F.lower("name").alias("name")).agg(F.max_by("id", order).alias("id"))
 
 
-def entity_pairs(mentions: DataFrame, chunk: str, entity: str) -> DataFrame:
-    """Ordered pairs of different entities of one chunk; mentions holds bounded chunks, not corpora."""
-    m = mentions.select(chunk, entity).distinct()
-    return m.select(chunk, F.col(entity).alias("subject")).join(m.select(chunk, F.col(entity).alias("object")), chunk).where("subject <> object")
+def entity_pairs(chunks: DataFrame, chunk: str, names: str) -> DataFrame:
+    """(chunk, subject, object): ordered pairs of different names of one chunk's list.
+
+    The list is capped before (capped_names), so pairs are made inside the row:
+    no join, and no more than the cap's square a chunk.
+    """
+    others = lambda a: F.filter(F.array_distinct(names), lambda b: b != a)
+    pairs = F.flatten(F.transform(F.array_distinct(names), lambda a: F.transform(others(a), lambda b: F.struct(a.alias("subject"), b.alias("object")))))
+    return chunks.select(chunk, F.explode(pairs).alias("p")).select(chunk, "p.subject", "p.object")
 
 
 def valid_triples(triples: DataFrame, relations: list[str]) -> DataFrame:

@@ -296,18 +296,19 @@ def rich_chunks(spark: SparkSession, d: str) -> DataFrame:
     return entities.rich_chunks(dictionary_matches(spark, d), "doc_id")
 
 
-@query(f"select distinct a.doc_id, a.name as subject, b.name as object from ({_FOUND}) a join ({_FOUND}) b on a.doc_id = b.doc_id and a.name <> b.name")
-def entity_pairs(spark: SparkSession, d: str) -> DataFrame:
-    from ..operators.graph import entity_pairs as pairs
-
-    return pairs(dictionary_matches(spark, d), "doc_id", "name")
-
-
 @query(f'select doc_id, list(name order by "at", name)[1:6] as names from ({_FOUND}) group by 1')
 def capped_names(spark: SparkSession, d: str) -> DataFrame:
     return entities.capped_names(dictionary_matches(spark, d), "doc_id", 6)
 
 
+@query(f'with c as (select doc_id, list(name order by "at", name)[1:8] as names from ({_FOUND}) group by 1), x as (select doc_id, names, unnest(names) as subject from c) select doc_id, subject, object from (select doc_id, subject, unnest(names) as object from x) where subject <> object')
+def entity_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Ordered pairs of each text's first eight names (the cap of the relation step)."""
+    from ..operators.graph import entity_pairs as pairs
+
+    return pairs(entities.capped_names(dictionary_matches(spark, d), "doc_id", 8), "doc_id", "names")
+
+
 @query()
 def fuzzy_entity_link(spark: SparkSession, d: str) -> DataFrame:
     """Actor names with a letter lost, linked to actor names again (indel ratio: unit-tested)."""

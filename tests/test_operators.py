@@ -253,7 +253,7 @@ def test_dictionary(spark, block):
     m = entities.dictionary_matches(df, "k", "t", names, "n")
     assert entities.rich_chunks(m, "k").collect() == [(1, 2)]
     assert entities.capped_names(m, "k", 1).collect() == [(1, ["New York"])]
-    assert graph.entity_pairs(m, "k", "name").count() == 2
+    assert graph.entity_pairs(entities.capped_names(m, "k", 8), "k", "names").count() == 2
     assert entities.dictionary_matches(df, "k", "t", names.limit(0), "n").count() == 0
 
 
