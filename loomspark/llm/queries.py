@@ -124,3 +124,7 @@ dw as (select doc_id, {_W.format(c='text')} as w from documents where text is no
 dg as (select doc_id, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i+12], ' '))) as g from dw where len(w) >= 13)
 select distinct doc_id, item_id from dg join pg using (g)""",
 }
+ORACLE["p3_clean"] = f"""
+with f as ({ORACLE['p3_found']}), g as (select doc_id, list(line_no) as gone from f group by doc_id)
+select doc_id, case when gone is null then text else array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: not list_contains(gone, i)), chr(10)) end as text
+from documents left join g using (doc_id)"""
