@@ -23,7 +23,7 @@ def netloc(c: Column) -> Column:
 
 def host(c: Column) -> Column:
     """Host of a URL in lower case, without user, port and a final dot; works without a scheme too."""
-    authority = F.regexp_extract(F.trim(c), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://)?([^/?#]*)", 1)
+    authority = F.regexp_extract(F.trim(c), r"^(?:(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//)?([^/?#]*)", 1)
     return F.lower(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r"\.?(:\d*)?$", ""))
 
 

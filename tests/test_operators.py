@@ -49,6 +49,8 @@ def one(spark, value, f, kind="string"):
         (urls.scheme_stripped, " HTTPS://X.com/a/ ", " HTTPS://X.com/a/ "),
         (urls.host, "https://u:p@WWW.A.example:8080/x?y", "www.a.example"),
         (urls.host, "a.example/x", "a.example"),
+        (urls.host, "A.example:443/x", "a.example"),
+        (urls.host, "//a.example./x", "a.example"),
         (clean.html_main_text, "<html><head><title>T</title></head><body><nav>n</nav><p>a<p>b<script>x()</script></body>", "a b"),
         (clean.html_title, "<TITLE> T </TITLE>", "T"),
         (dedup.collapse_lines, "a\na\na\nb\n\n\na", "a\nb\n\n\na"),
