@@ -34,7 +34,7 @@ def _site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _site_lines(spark, sf_dir)
-    return sitelines.repeated_lines(lines, sitelines.repeated_blocks(lines))
+    return sitelines.repeated_lines(lines, sitelines.repeated_blocks(lines, longer=False))
 
 
 def p3_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,6 +190,35 @@ def test_site_lines_of_nothing(spark):
     assert sitelines.repeated_lines(lines, sitelines.repeated_blocks(lines)).count() == 0
 
 
+@pytest.mark.parametrize("shard", [400_000, 40, 7])
+def test_long_blocks_match_brute_force(spark, shard):
+    """Blocks of two lines and more of cut sites have the counts of uncut ones, also those that any shard sees once."""
+    r = random.Random(4)
+    kits = [[f"kit {k} line {chr(97 + n)}" for n in range(r.randint(2, 5))] for k in "abcdefgh"]
+    docs = []
+    for i in range(90):
+        lines = [f"own {chr(97 + i % 26)}{chr(97 + i // 26)} first"]
+        for kit in r.sample(kits, r.randint(0, 3)):
+            lines += kit[: r.randint(1, len(kit))] + r.choice([[], ["- 1 -"], [f"own {chr(97 + i % 26)}{chr(97 + i // 26)} next"]])
+        docs.append(("two" if i % 3 else "one", lines))
+    docs += [("one", kits[0] + kits[1])] * 6
+    df = spark.createDataFrame([(i, "\n".join(x), f"https://{s}.test/{i}") for i, (s, x) in enumerate(docs)], "doc_id bigint, text string, url string")
+    lines = sitelines.site_lines(df, "doc_id", "text", "url", spark.createDataFrame([("one.test",), ("two.test",)], "domain string"))
+    found = sitelines.repeated_blocks(lines, 5, shard).collect()
+    got = sorted((x["site"], x["n_lines"], x["docs"]) for x in found)
+    assert len({(x["site"], x["block"], x["n_lines"]) for x in found}) == len(found)
+    owners, after = {}, {}
+    for i, (s, x) in enumerate(docs):
+        forms = [f for f in map(sitelines.equal_form, x) if f is not None]
+        for a in range(len(forms)):
+            for b in range(a + 1, len(forms) + 1):
+                w = (s, *forms[a:b])
+                owners.setdefault(w, set()).add(i)
+                after.setdefault(w, set()).add(forms[b] if b < len(forms) else i)
+    want = [(f"{w[0]}.test", len(w) - 1, len(o)) for w, o in owners.items() if len(o) >= 5 and (len(w) == 2 or len(after[w]) > 1)]
+    assert max(n for _, n, _ in want) > 4 and got == sorted(want)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.lists(st.integers(1, 3), min_size=1, max_size=9), min_size=1, max_size=6))
 def test_suffix_array(docs):
