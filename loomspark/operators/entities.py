@@ -99,3 +99,8 @@ def capped_names(matches: DataFrame, key: str, most: int = 6) -> DataFrame:
     """(key, names): the first names in text order, at most ``most``."""
     order = F.array_sort(F.collect_list(F.struct("at", "name")))
     return matches.groupBy(key).agg(F.slice(F.transform(order, lambda x: x["name"]), 1, most).alias("names"))
+
+
+def all_names(matches: DataFrame, key: str) -> DataFrame:
+    """(key, names): the different names, in no order."""
+    return matches.groupBy(key).agg(F.collect_set("name").alias("names"))

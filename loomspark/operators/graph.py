@@ -64,12 +64,12 @@ def canonical(entities: DataFrame, order: str) -> DataFrame:
 def entity_pairs(chunks: DataFrame, chunk: str, names: str) -> DataFrame:
     """(chunk, subject, object): ordered pairs of different names of one chunk's list.
 
-    The list is capped before (capped_names), so pairs are made inside the row:
-    no join, and no more than the cap's square a chunk.
+    Pairs are made inside the row, one subject after another: no join, and no
+    array longer than the list.
     """
-    others = lambda a: F.filter(F.array_distinct(names), lambda b: b != a)
-    pairs = F.flatten(F.transform(F.array_distinct(names), lambda a: F.transform(others(a), lambda b: F.struct(a.alias("subject"), b.alias("object")))))
-    return chunks.select(chunk, F.explode(pairs).alias("p")).select(chunk, "p.subject", "p.object")
+    c = chunks.select(F.col(chunk), F.array_distinct(names).alias("names"))
+    c = c.select(chunk, "names", F.explode("names").alias("subject"))
+    return c.select(chunk, "subject", F.explode(F.filter("names", lambda b: b != F.col("subject"))).alias("object"))
 
 
 def valid_triples(triples: DataFrame, relations: list[str]) -> DataFrame:

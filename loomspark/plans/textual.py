@@ -309,6 +309,14 @@ def entity_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs(entities.capped_names(dictionary_matches(spark, d), "doc_id", 8), "doc_id", "names")
 
 
+@query(f"select distinct a.doc_id, a.name as subject, b.name as object from ({_FOUND}) a join ({_FOUND}) b on a.doc_id = b.doc_id and a.name <> b.name")
+def entity_pairs_all(spark: SparkSession, d: str) -> DataFrame:
+    """Ordered pairs of all of each text's names, however many."""
+    from ..operators.graph import entity_pairs as pairs
+
+    return pairs(entities.all_names(dictionary_matches(spark, d), "doc_id"), "doc_id", "names")
+
+
 @query()
 def fuzzy_entity_link(spark: SparkSession, d: str) -> DataFrame:
     """Actor names with a letter lost, linked to actor names again (indel ratio: unit-tested)."""

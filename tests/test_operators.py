@@ -259,6 +259,24 @@ def test_dictionary(spark, block):
     assert entities.dictionary_matches(df, "k", "t", names.limit(0), "n").count() == 0
 
 
+def test_entity_pairs_of_many_names(spark):
+    """All pairs of a text of 30 names, against the self-join."""
+    names = [f"Name{chr(65 + i // 26)}{chr(65 + i % 26)}" for i in range(30)]
+    df = spark.createDataFrame([(1, " ".join(names + names[:3])), (2, names[0]), (3, None), (4, " ".join(names[5:7]))], "k int, t string")
+    m = entities.dictionary_matches(df, "k", "t", spark.createDataFrame([(n,) for n in names], "n string"), "n")
+    got = [tuple(r) for r in graph.entity_pairs(entities.all_names(m, "k"), "k", "names").collect()]
+    assert sorted(got) == sorted((k, a, b) for k, own in ((1, names), (4, names[5:7])) for a in own for b in own if a != b)
+
+
+def test_entity_pairs_all_query_has_no_cap(spark, tmp_path):
+    from loomspark.plans.textual import QUERIES
+
+    names = [f"Town{chr(65 + i)}" for i in range(12)]
+    rows = [(i, f"{n}: news", " ".join(names) if i == 0 else "none") for i, n in enumerate(names)]
+    spark.createDataFrame(rows, "doc_id bigint, title string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert QUERIES["entity_pairs_all"](spark, str(tmp_path)).count() == 12 * 11
+
+
 def test_super_edges(spark):
     rows = [("a", "b", "r", float(i % 7), f"c{i:02d}") for i in range(30)] * 2 + [("a", "b", "s", 1.0, None)]
     got = {r["relation"]: r for r in graph.super_edges(spark.createDataFrame(rows, "source_id string, target_id string, relation string, score double, chunk_id string")).collect()}
