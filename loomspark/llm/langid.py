@@ -31,6 +31,7 @@ from .words import slices
 LANGUAGES = ("en", "it", "fr", "de", "es", "pt", "ru")
 TRAIN_DOCS, TRAIN_LINES, CENTROIDS, DIMENSIONS, LINES_AT_ONCE = 1500, 12_000, 4, 2048, 256
 MIN_WORDS, FLOOR, NEAR, SHARPNESS, WINDOW, CLEAR = 12, 0.5, 0.03, 0.04, 8, 0.1
+SWITCH = 0.1
 _CYRILLIC = [p for p in SINGLE if p[0] in ("koi8_r", "cp1251", "cp866")]
 _CLASS = np.full(0x500, 32, dtype=np.uint64)
 for _c in range(0x500):
@@ -182,6 +183,63 @@ def _lines(model: Centroids, min_words: int):
     return run
 
 
+def settled(own: np.ndarray, cos: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Language of each line of a text by the best sum of weighted cosines, less SWITCH for each change; own >= 0 stays."""
+    score = cos * weight[:, None]
+    score[own >= 0] = -np.inf
+    score[own >= 0, own[own >= 0]] = 0.0
+    best, came = score[0], np.zeros(score.shape, dtype=np.int64)
+    for i in range(1, len(score)):
+        top = int(best.argmax())
+        stay = best >= best[top] - SWITCH
+        came[i] = np.where(stay, np.arange(len(best)), top)
+        best = np.where(stay, best, best[top] - SWITCH) + score[i]
+    out = np.empty(len(score), dtype=np.int64)
+    out[-1] = best.argmax()
+    for i in range(len(score) - 1, 0, -1):
+        out[i - 1] = came[i, out[i]]
+    return out
+
+
+def _every_line(model: Centroids):
+    """As _lines, with a row for each line that is not blank: lines of few words, and those partly in another language, by joint cosine with their neighbours."""
+    long_lines = _lines(model, MIN_WORDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            known = [dict(zip(n, g)) for out in long_lines(iter([batch])) for n, g in zip(out.column(1).to_pylist(), out.column(2).to_pylist())]
+            lines, numbers, ends = [], [], [0]
+            for text in batch.column(1).to_pylist():
+                for number, line in enumerate(text.split("\n") if text else (), 1):
+                    if line.strip():
+                        lines.append(line)
+                        numbers.append(number)
+                ends.append(len(lines))
+            alone, cos = classify(model, lines)
+            words = np.array([len(x.split(None, MIN_WORDS)[:MIN_WORDS]) for x in lines], dtype=np.float64)
+            weight = words / MIN_WORDS
+            label = np.full(len(lines), -1)
+            for a, b, fixed in zip(ends[:-1], ends[1:], known):
+                own = np.array([LANGUAGES.index(g) if (g := fixed.get(n)) else -1 for n in numbers[a:b]], dtype=np.int64)
+                # a long line in no known language stays without one, as do lines without letters
+                free = (own < 0) & (cos[a:b].max(1, initial=-1) > 0) & ((words[a:b] < MIN_WORDS) | (alone[a:b] >= 0))
+                use = np.flatnonzero((own >= 0) | free)
+                if len(use):
+                    label[a + use] = settled(own[use], cos[a + use], weight[a + use])
+            e = np.exp((cos - cos.max(1, keepdims=True)) * weight[:, None] / SHARPNESS) if len(lines) else cos
+            sure = e[np.arange(len(lines)), np.maximum(label, 0)] / e.sum(1) if len(lines) else np.empty(0)
+            names = pa.DictionaryArray.from_arrays(pa.array(label, mask=label < 0), pa.array(LANGUAGES)).cast(pa.string())
+            offsets = pa.array(ends, pa.int32())
+            wrap = lambda v: pa.ListArray.from_arrays(offsets, v)
+            chars = pa.array([len(x) for x in lines], pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), wrap(pa.array(numbers, pa.int32())), wrap(names), wrap(pa.array(sure, pa.float64())), wrap(chars)],
+                ["doc_id", "line_no", "langs", "sure", "chars"],
+            )
+
+    return run
+
+
 def label_language(lang: Column) -> Column:
     """The language a label names, alone or with a region; null for any other label."""
     return F.nullif(F.regexp_extract(F.lower(lang), f"^({'|'.join(LANGUAGES)})(?:[-_][a-z0-9]+)?$", 1), F.lit(""))
@@ -208,6 +266,22 @@ def line_languages(df: DataFrame, key: str, text: str, model: Centroids, min_wor
     return rows.mapInArrow(_lines(model, min_words), "doc_id bigint, line_no array<int>, langs array<string>, sure array<double>, chars array<int>")
 
 
+def every_line_language(df: DataFrame, key: str, text: str, model: Centroids) -> DataFrame:
+    """As line_languages, of all lines that are not blank; lang null for lines without letters and long ones in no known language."""
+    rows = df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(_every_line(model), "doc_id bigint, line_no array<int>, langs array<string>, sure array<double>, chars array<int>")
+
+
+def document_languages(lines: DataFrame) -> DataFrame:
+    """(doc_id, lang, confidence) of every text with a line: the language of most characters and its sure part of them; null and 0 without one."""
+    items = F.arrays_zip("langs", "sure", "chars")
+    part = lambda g: F.aggregate(F.filter(items, lambda x: x["langs"] == g), F.lit(0.0), lambda acc, x: acc + x["sure"] * x["chars"])
+    best = F.array_max(F.array(*[F.struct(part(g).alias("s"), F.lit(-k).alias("k"), F.lit(g).alias("lang")) for k, g in enumerate(LANGUAGES)]))
+    total = F.aggregate("chars", F.lit(0.0), lambda acc, x: acc + x)
+    rows = lines.where(F.size("chars") > 0).select("doc_id", best.alias("b"), total.alias("t"))
+    return rows.select("doc_id", F.when(F.col("b.s") > 0, F.col("b.lang")).alias("lang"), F.round(F.col("b.s") / F.col("t"), 6).alias("confidence"))
+
+
 def wrong_labels(df: DataFrame, key: str, text: str, lang: str, model: Centroids) -> DataFrame:
     """(doc_id, lang): the languages of each text that has several, or whose label is missing or another.
 

@@ -53,7 +53,13 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _texts(spark, sf_dir, "lang")
     model = langid.train(docs, "doc_id", "text", "lang")
-    return langid.segments(langid.line_languages(docs, "doc_id", "text", model))
+    return langid.segments(langid.every_line_language(docs, "doc_id", "text", model))
+
+
+def p4_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _texts(spark, sf_dir, "lang")
+    model = langid.train(docs, "doc_id", "text", "lang")
+    return langid.document_languages(langid.every_line_language(docs, "doc_id", "text", model))
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +99,7 @@ QUERIES = {
     "p3_clean": p3_clean,
     "p4_found": p4_found,
     "p4_segments": p4_segments,
+    "p4_languages": p4_languages,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,

@@ -289,6 +289,22 @@ def test_wrong_labels(spark, model):
     assert [(s["first_line"], s["last_line"], s["lang"]) for s in seg] == [(1, 1, "it"), (2, 2, "en")] and all(s["confidence"] > 0.5 for s in seg)
 
 
+def test_short_lines_have_a_language(spark, model):
+    """Lines under 12 words: alone, as a second language, before and between long ones; every text that is not empty has a row."""
+    w = {g: t.split() for g, t in LINES.items()}
+    short = lambda g, n=6: [" ".join(w[g][i : i + n]) for i in range(0, 2 * n, n)] * 2
+    texts = [" ".join(w["de"][:8]), "\n".join(short("fr")), "\n".join([LINES["en"], *short("ru"), LINES["en"]]), "\n".join(["council", LINES["en"], "", "123 - 4", "the town said"]), "12 34", "", None, " \n"]
+    every = langid.every_line_language(frame(spark, texts), "doc_id", "text", model)
+    seg = {}
+    for r in langid.segments(every).orderBy("doc_id", "segment_no").collect():
+        seg.setdefault(r["doc_id"], []).append((r["first_line"], r["last_line"], r["lang"]))
+        assert 0 < r["confidence"] <= 1
+    assert seg == {0: [(1, 1, "de")], 1: [(1, 4, "fr")], 2: [(1, 1, "en"), (2, 5, "ru"), (6, 6, "en")], 3: [(1, 5, "en")]}
+    docs = {r["doc_id"]: (r["lang"], r["confidence"]) for r in langid.document_languages(every).collect()}
+    assert {k: g for k, (g, _) in docs.items()} == {0: "de", 1: "fr", 2: docs[2][0], 3: "en", 4: None} and docs[4][1] == 0
+    assert docs[2][0] in ("en", "ru")
+
+
 def test_training_without_labels(spark):
     df = spark.createDataFrame([(1, LINES["en"], None)], "doc_id bigint, text string, lang string")
     m = langid.train(df, "doc_id", "text", "lang")
