@@ -16,6 +16,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import arrow_map
+
 
 @dataclass(frozen=True)
 class Assembly:
@@ -140,7 +142,7 @@ def assemble(rows: DataFrame, keys: list[str], how: Assembly = CANONICAL) -> Dat
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), b.column(3)], ["k", "text", "date"])
 
     kinds = ", ".join(f"{c}: {t}" for c, t in rows.select(*keys).dtypes)
-    out = flat.mapInArrow(run, f"k struct<{kinds}>, text string, date string").select("k.*", "text", "date")
+    out = arrow_map(flat, run, f"k struct<{kinds}>, text string, date string").select("k.*", "text", "date")
     return out.where(F.length("text") >= how.least_chars) if how.least_chars else out
 
 

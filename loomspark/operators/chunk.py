@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.fields import chunk_id
+from ..session import arrow_map
 
 SEPARATORS = ("\n\n", "\n", " ", "")
 
@@ -56,6 +57,6 @@ def chunk_texts(df: DataFrame, key: str, text: str, size: int = 1000, overlap: i
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([chunks(t, size, overlap) if t else [] for t in b.column(1).to_pylist()], pa.list_(pa.string()))], ["k", "c"])
 
     kind = dict(df.dtypes)[key]
-    out = df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, c array<string>")
+    out = arrow_map(df.select(F.col(key).alias("k"), F.col(text).alias("t")), run, f"k {kind}, c array<string>")
     out = out.select(F.col("k").alias(key), F.posexplode("c").alias("chunk_number", "chunk_text"))
     return out.withColumn("chunk_id", chunk_id(F.col(key), F.col("chunk_number")))

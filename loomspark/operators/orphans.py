@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import ship_package
+
 CASE_SCHEMA = "ref_id bigint, ref_table string, reason string, period string"
 REASONS = np.array(["", "missing", "deleted", "late"])
 
@@ -83,6 +85,7 @@ def orphan_references(refs: DataFrame, parent_rows: DataFrame, range_keys: int =
     """
     h1, h2 = F.xxhash64("ref_table", "key"), F.xxhash64("key", F.lit("second"), "ref_table")
     spark = refs.sparkSession
+    ship_package(spark)
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(parent_rows.count() / range_keys))
     width = 2**64 // ranges + 1
     # h1 is shifted to be non-negative in decimal space by halves: floor(h1 / width) with an offset

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.fields import sigmoid
-from ..session import materialize
+from ..session import arrow_map, materialize
 
 K1, B = 1.2, 0.75
 WORD = r"[\p{L}\p{N}]+"
@@ -117,7 +117,7 @@ def embed(df: DataFrame, key: str, text: str, encode: Callable[[list[str | None]
                 flat = pa.array(v.ravel())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1]), flat)], [key, "vector"])
 
-    return df.where(F.coalesce(F.col(text), F.lit("")) != "").select(key, text).mapInArrow(run, f"{key} {kind}, vector array<float>")
+    return arrow_map(df.where(F.coalesce(F.col(text), F.lit("")) != "").select(key, text), run, f"{key} {kind}, vector array<float>")
 
 
 def rerank(candidates: DataFrame, group: str, key: str, score: Column | None = None, limit: int = 10) -> DataFrame:

@@ -6,8 +6,10 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -28,18 +30,30 @@ def local_session(name: str = "loomspark", cpus: str = "8", partitions: int = 8)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one, set here, only where that is unset."""
+    """The folder named by spark.checkpoint.dir; a temporary one of this machine, set here, only on a local master where that is unset.
+
+    On a cluster without the setting it raises: what executors write to their
+    own disks cannot be read back by others.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm_dir.isDefined():
             return jvm_dir.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), f"loomspark-shared-{os.getpid()}")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return folder
 
 
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Removes path when the driver's file systems close."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table of the shared folder and reads it back: cuts lineage, survives lost executors.
 
@@ -48,8 +62,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    delete_on_exit(spark, path)
     out = spark.read.parquet(path)
     out._loomspark_path = path
     return out
@@ -76,3 +89,9 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     context.addPyFile(str(target))
     context._loomspark_shipped = True
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow with this package on the workers."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(run, schema)

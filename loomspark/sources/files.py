@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import arrow_map
 from .schemas import strings
 
 FRAGMENT = "url string, date string, lang string, type string, pos string, pre string, ngram string, post string, _broken string"
@@ -84,7 +85,7 @@ def read_broken_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
                         pass
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["o"])
 
-    objects = spark.read.option("wholetext", True).text(path).mapInArrow(run, "o string")
+    objects = arrow_map(spark.read.option("wholetext", True).text(path), run, "o string")
     return objects.select(F.from_json("o", schema).alias("r")).select("r.*")
 
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.assemble import CANONICAL, Assembly, assemble, fragment
-from ..session import shared_folder
+from ..session import delete_on_exit, shared_folder
 
 
 def ingest(spark: SparkSession, folder: str, glob: str, schema, per_batch: int = 100, out: str | None = None, state: str | None = None) -> str:
@@ -19,6 +19,7 @@ def ingest(spark: SparkSession, folder: str, glob: str, schema, per_batch: int =
     if "*" not in glob and inner.getFileSystem(spark._jsc.hadoopConfiguration()).isDirectory(inner):
         folder, glob = f"{folder}/{glob}", "*.parquet"
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    delete_on_exit(spark, base)  # of what is given by the caller nothing is removed
     out, state = out or f"{base}/out", state or f"{base}/state"
     rows = spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", per_batch).parquet(folder)
     q = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
