@@ -33,8 +33,7 @@ def _site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _site_lines(spark, sf_dir)
-    return sitelines.repeated_lines(lines, sitelines.repeated_blocks(lines, longer=False))
+    return sitelines.repeated_lines(_site_lines(spark, sf_dir))
 
 
 def p3_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +41,9 @@ def p3_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sitelines.without_lines(_texts(spark, sf_dir), "doc_id", "text", p3_found(spark, sf_dir))
+    docs, sites = _texts(spark, sf_dir, "url"), table(spark, sf_dir, "news_site", "domain")
+    blocks = sitelines.repeated_blocks(_site_lines(spark, sf_dir))
+    return sitelines.without_lines(docs, "doc_id", "text", "url", sites, blocks)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

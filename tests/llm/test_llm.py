@@ -172,22 +172,23 @@ def test_site_lines_match_brute_force(spark, shard):
     sites = spark.createDataFrame([("a.example",), ("news.a.example",), ("b.test",)], "domain string")
     lines = sitelines.site_lines(df, "doc_id", "text", "url", sites)
     blocks = sitelines.repeated_blocks(lines, 5, shard)
-    found = sitelines.repeated_lines(lines, blocks)
+    found = sitelines.repeated_lines(lines, 5, shard)
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(set(got)) and set(got) == lines_by_hand(rows)
     if shard > 1000:
         assert blocks.where("n_lines > 1").count() > 0
-    clean = {r["doc_id"]: r["text"] for r in sitelines.without_lines(df, "doc_id", "text", found).collect()}
     gone = set(got)
-    for i, t, _ in rows:
-        assert clean[i] == (t and "\n".join(x for n, x in enumerate(t.split("\n"), 1) if (i, n) not in gone))
+    for most in (1_000_000, 0):
+        clean = {r["doc_id"]: r["text"] for r in sitelines.without_lines(df, "doc_id", "text", "url", sites, blocks, most=most).collect()}
+        for i, t, _ in rows:
+            assert clean[i] == (t and "\n".join(x for n, x in enumerate(t.split("\n"), 1) if (i, n) not in gone))
 
 
 def test_site_lines_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string, url string")
     sites = spark.createDataFrame([("a.example",)], "domain string")
     lines = sitelines.site_lines(df, "doc_id", "text", "url", sites)
-    assert sitelines.repeated_lines(lines, sitelines.repeated_blocks(lines)).count() == 0
+    assert sitelines.repeated_lines(lines).count() == 0 and sitelines.repeated_blocks(lines).count() == 0
 
 
 @pytest.mark.parametrize("shard", [400_000, 40, 7])
@@ -233,6 +234,24 @@ def test_suffix_array(docs):
         assert lcp[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.integers(1, 3), min_size=1, max_size=8), min_size=1, max_size=8), st.integers(2, 4))
+def test_marked_blocks_cover_the_repeated_lines(docs, least):
+    """Blocks are counted and marked as by hand, however they nest; a line is covered if and only if it is in enough documents."""
+    flat, doc = np.array([x for d in docs for x in d]), np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    end = np.searchsorted(doc, doc, side="right")
+    order, left, right, length, n = sitelines._counted(flat, doc, end, np.ones(len(docs), dtype=np.int64))
+    for a, b, size, count in zip(left, right, length, n):
+        assert count == len({int(doc[order[i]]) for i in range(a, b + 1)})
+        assert len({tuple(flat[order[i] : order[i] + size]) for i in range(a, b + 1)}) == 1
+    often = {x for x in flat.tolist() if len({i for i, d in enumerate(docs) if x in d}) >= least}
+    assert sitelines.covered(flat, doc, end, least).tolist() == [x in often for x in flat.tolist()]
+    use = n >= least
+    reach = sitelines.reaches(len(flat), left[use], right[use], length[use])
+    for i in range(len(flat)):
+        assert reach[i] == max((size for a, b, size in zip(left[use], right[use], length[use]) if a <= i <= b), default=0)
+
+
 # --- languages ---
 
 LINES = {
