@@ -14,14 +14,18 @@ equal variant with probability 1 - (1 - J^3 - 3 J^2 (1-J))^12: 0.9998 at 0.5,
 over 0.99999 from 0.6.
 
 Scale: texts with equal shingle sets are one class before anything is paired.
-A variant shared by at most BUCKET classes yields its pairs directly. Members
-of larger buckets, which come of boilerplate that many texts share, are
-indexed once more under each two of their crowded variants (LEVELS = 2; a pair
-with a variant in a small bucket is met there); classes in buckets that are
-still larger are joined by an exact prefix filter (rarest shingles first). No bucket is truncated, and none is
-paired quadratically for a shared line's sake. Before texts are fetched for
-the exact check, pairs that agree in fewer symbols than 3.8 standard
-deviations below the threshold's mean are dropped (probability 0.00004).
+A variant of at most BUCKET classes yields its pairs directly. Classes with a
+variant of more, which comes of boilerplate or of a large family, are indexed
+again with all but one symbol a wildcard, and a symbol of at most BUCKET of
+them yields its pairs. Two of them that agree in no such symbol agree only in
+crowded ones: classes with as many crowded symbols as any similar pair must
+agree in go through an exact prefix filter (rarest shingles first). So no
+bucket is truncated, and a pair is lost only by its signature: without an
+equal variant at all (above), or agreeing in fewer symbols than 3.8 standard
+deviations below the threshold's mean (probability 0.00004 at the threshold).
+A part of the classes sends at most BUCKET + 1 rows of a key to the shuffle,
+so that a variant of a tenth of all texts is no hot key; crowded keys come
+back as one row each.
 """
 
 from __future__ import annotations
@@ -32,15 +36,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, functions as F
 
-from ..session import discard, materialize
+from ..session import arrow_map, discard, materialize
 from .words import hashed_batch, mix, slices, window_hashes
 
-SHINGLE, SEGMENTS, WIDTH, BUCKET, LEVELS, DOUBT = 5, 12, 3, 16, 2, 0.02
+SHINGLE, SEGMENTS, WIDTH, BUCKET, DOUBT = 5, 12, 3, 16, 0.02
+ROWS_AT_ONCE, BROADCAST_KEYS = 1 << 16, 2_000_000
 _rng = np.random.default_rng(20240607)
 XORS = _rng.integers(0, 2**64, SEGMENTS * WIDTH, dtype=np.uint64)
-BASE_XOR = np.uint64(0xD6E8FEB86659FD93)
+BASE_XOR, RADIX = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 ODDS = _rng.integers(0, 2**63, SEGMENTS * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -67,45 +73,78 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), pa.array(c1), pa.array(c2), lists], ["id", "c1", "c2", "symbols"])
 
 
-
-
-def _sets(short: bool):
-    """(id, text) -> (id, s): the shingle set, as halves of the hashes when short."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            shingles, offsets = _shingles(batch)
-            if short:
-                shingles = (shingles >> np.uint64(32)).astype(np.uint32)
-            own = [np.unique(shingles[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
-            ends = np.zeros(len(own) + 1, dtype=np.int32)
-            np.cumsum([len(x) for x in own], out=ends[1:])
-            flat = np.concatenate(own).view(np.int32 if short else np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "s"])
-
-    return run
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) -> (id, s): the shingle set."""
+    for batch in slices(batches, 1):
+        shingles, offsets = _shingles(batch)
+        own = [np.unique(shingles[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
+        ends = np.zeros(len(own) + 1, dtype=np.int32)
+        np.cumsum([len(x) for x in own], out=ends[1:])
+        flat = np.concatenate(own).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "s"])
 
 
 def signatures(df: DataFrame, key: str, text: str) -> DataFrame:
     """(id, c1, c2, symbols) per text with words; c1, c2 identify its shingle set."""
     rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where("text is not null and id is not null")
-    return rows.mapInArrow(_signed, "id bigint, c1 bigint, c2 bigint, symbols array<int>")
+    return arrow_map(rows, _signed, "id bigint, c1 bigint, c2 bigint, symbols array<int>")
 
 
-def shingle_sets(df: DataFrame, key: str, text: str, ids: DataFrame, short: bool = False) -> DataFrame:
-    """(id, s) for the texts whose id is in ids(id); short: 32 bits a shingle."""
+def shingle_sets(df: DataFrame, key: str, text: str, ids: DataFrame) -> DataFrame:
+    """(id, s) for the texts whose id is in ids(id), one row an id."""
     rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where("text is not null")
-    return rows.join(ids, "id", "left_semi").mapInArrow(_sets(short), f"id bigint, s array<{'int' if short else 'bigint'}>")
+    return arrow_map(rows.join(ids, "id", "left_semi"), _sets, "id bigint, s array<bigint>").dropDuplicates(["id"])
+
+
+def _keys(symbols: np.ndarray, single: bool) -> np.ndarray:
+    """One key for each symbol and row: that symbol alone, or its segment without it."""
+    out, s = np.empty(symbols.shape, dtype=np.uint64), symbols.view(np.uint32).astype(np.uint64)
+    for k in range(symbols.shape[1]):
+        first = k - k % WIDTH
+        h = np.full(len(s), k + 1, dtype=np.uint64) * RADIX
+        for j in (k,) if single else (j for j in range(first, first + WIDTH) if j != k):
+            h = mix(h ^ s[:, j]) * RADIX
+        out[:, k] = mix(h)
+    return out.view(np.int64)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
+    """(ids, symbols, the rows) of many rows at once."""
+    held: list[pa.RecordBatch] = []
+    for batch in itertools.chain(batches, [None]):
+        held += [batch] if batch is not None and batch.num_rows else []
+        if held and (batch is None or sum(b.num_rows for b in held) >= ROWS_AT_ONCE):
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            yield rows.column(0).to_numpy(), rows.column(1).flatten().to_numpy().reshape(rows.num_rows, -1), rows
+            held = []
+
+
+def _posts(single: bool, cap: int):
+    """(id, symbols) -> (v, id): the keys of each row; of a key no more than cap + 1 rows of a part."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, symbols, _ in _rows(batches):
+            v, owner = _keys(symbols, single).ravel(), np.repeat(ids, symbols.shape[1])
+            order = np.argsort(v, kind="stable")
+            v, owner = v[order], owner[order]
+            starts = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+            place = np.arange(len(v)) - np.repeat(starts, np.diff(np.append(starts, len(v))))
+            yield pa.RecordBatch.from_arrays([pa.array(v[place <= cap]), pa.array(owner[place <= cap])], ["v", "id"])
+
+    return run
+
+
+def _crowded(single: bool, keys: Broadcast, least: int):
+    """Rows (id, symbols) of which at least ``least`` keys are among the given ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        large = keys.value
+        for _, symbols, rows in _rows(batches):
+            v = _keys(symbols, single)
+            at = np.minimum(np.searchsorted(large, v), max(len(large) - 1, 0))
+            yield rows.filter(pa.array((large[at] == v).sum(1) >= least))
 
-def _variants(symbols: Column) -> Column:
-    """One key for each segment and wildcard position, with the segment's bit."""
-    keys = []
-    for g in range(SEGMENTS):
-        for gone in range(WIDTH):
-            kept = [symbols[g * WIDTH + j] for j in range(WIDTH) if j != gone]
-            keys.append(F.struct(F.xxhash64(F.lit(g * WIDTH + gone), *kept).alias("v"), F.lit(1 << g).alias("used")))
-    return F.array(*keys)
+    return run
 
 
 def _prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
@@ -137,40 +176,24 @@ def _prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def _bucket_pairs(cap: int):
-    """Rows (v, id, used) sorted by v -> (a, b, used): pairs of a bucket of at most cap rows with used 0, or its rows (v, id, used)."""
+    """Rows (v, id) sorted by v -> (a, b): pairs of a bucket of at most cap rows; of a larger one (v, null) once."""
 
-    def table(a, b, used) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(used, pa.int32())], ["a", "b", "used"])
+    def table(a, b) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = [np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int32)]
-        held, large = none, None  # rows of a bucket that may go on; the key of one known to be too large
+        held = [np.empty(0, dtype=np.int64)] * 2  # rows of a bucket that may go on; of one known to be too large the first cap + 1
         for batch in itertools.chain(batches, [None]):
-            v, ids, used = none if batch is None else (batch.column(i).to_numpy() for i in range(3))
-            if batch is not None and not len(v):
-                continue
-            if large is not None:  # its rows pass through
-                same = int(np.searchsorted(v, large, side="right")) if len(v) and v[0] == large else 0
-                if same:
-                    yield table(v[:same], ids[:same], used[:same])
-                v, ids, used = v[same:], ids[same:], used[same:]
-                if not len(v) and batch is not None:
-                    continue
-                large = None
-            v, ids, used = (np.concatenate(x) for x in zip(held, (v, ids, used)))
-            held = none
+            v, ids = held if batch is None else (np.concatenate(x) for x in zip(held, (batch.column(i).to_numpy() for i in range(2))))
+            held = [v[:0], ids[:0]]
             if not len(v):
                 continue
             starts = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
             sizes = np.diff(np.append(starts, len(v)))
             if batch is not None:
                 last = starts[-1]
-                if sizes[-1] > cap:
-                    large = v[last]
-                    yield table(v[last:], ids[last:], used[last:])
-                else:
-                    held = [v[last:], ids[last:], used[last:]]
-                v, ids, used, starts, sizes = v[:last], ids[:last], used[:last], starts[:-1], sizes[:-1]
+                held = [v[last : last + cap + 1], ids[last : last + cap + 1]]
+                starts, sizes = starts[:-1], sizes[:-1]
             a, b = [], []
             for n in np.unique(sizes[(sizes > 1) & (sizes <= cap)]).tolist():
                 first = starts[sizes == n]
@@ -181,34 +204,48 @@ def _bucket_pairs(cap: int):
                         b.append(np.maximum(x, y))
             if a:
                 a, b = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
-                a, b = a[a < b], b[a < b]
-                yield table(a, b, np.zeros(len(a), dtype=np.int32))
-            over = np.repeat(sizes > cap, sizes)
-            if over.any():
-                yield table(v[over], ids[over], used[over])
+                yield table(a[a < b], b[a < b])
+            large = v[starts[sizes > cap]]
+            if len(large):
+                yield table(large, [None] * len(large))
 
     return run
 
 
-def _met(posts: DataFrame, cap: int) -> DataFrame:
-    met = posts.select("v", "id", "used").repartition("v").sortWithinPartitions("v").mapInArrow(_bucket_pairs(cap), "a bigint, b bigint, used int")
-    return materialize(met, "met")
+def _met(rows: DataFrame, single: bool, cap: int) -> DataFrame:
+    """(a, b) of the pairs of rows(id, symbols) in small buckets, and (key, null) of the crowded ones."""
+    posts = arrow_map(rows.select("id", "symbols"), _posts(single, cap), "v bigint, id bigint")
+    return materialize(arrow_map(posts.repartition("v").sortWithinPartitions("v"), _bucket_pairs(cap), "a bigint, b bigint"), "met")
+
 
+def _with_crowded(rows: DataFrame, met: DataFrame, single: bool, least: int) -> DataFrame:
+    """Rows (id, symbols) with at least ``least`` crowded keys. The keys are counted; few enough go to the workers, more are joined."""
+    keys = met.where("b is null").select(F.col("a").alias("v"))
+    if keys.count() <= BROADCAST_KEYS:
+        large = np.array(sorted(r["v"] for r in keys.collect()), dtype=np.int64)
+        if not len(large):
+            return rows.select("id", "symbols").limit(0)
+        return arrow_map(rows.select("id", "symbols"), _crowded(single, rows.sparkSession.sparkContext.broadcast(large), least), "id bigint, symbols array<int>")
+    posts = arrow_map(rows.select("id", "symbols"), _posts(single, 1 << 40), "v bigint, id bigint")
+    ids = posts.join(keys, "v", "left_semi").groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("id")
+    return rows.select("id", "symbols").join(ids, "id", "left_semi")
 
-def _compared(df: DataFrame, key: str, text: str, pairs: DataFrame, short: bool) -> DataFrame:
-    """(a, b, jaccard) of pairs(a, b)."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = shingle_sets(df, key, text, wanted, short).dropDuplicates(["id"])
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+
+def _compared(sets: DataFrame, pairs: DataFrame, short: bool) -> DataFrame:
+    """(a, b, jaccard) of pairs(a, b); by halves of the hashes when short."""
+    s = F.transform("s", lambda x: F.shiftright(x, 32).cast("int")) if short else F.col("s")
+    both = pairs.join(sets.select(F.col("id").alias("a"), s.alias("sa")), "a").join(sets.select(F.col("id").alias("b"), s.alias("sb")), "b")
     counted = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("m"))
     return counted.select("a", "b", (F.col("n") / (F.col("m") - F.col("n"))).alias("jaccard"))
 
 
-def class_links(df: DataFrame, key: str, text: str, threshold: float, bucket: int = BUCKET, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
+def class_links(df: DataFrame, key: str, text: str, threshold: float, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
     """(members, links): members(id, rep) of every text with words; links(a, b, jaccard), a < b, between representatives.
 
     Links join different shingle sets of Jaccard similarity >= threshold.
     Null and wordless texts have no row; rows repeated under one id count once.
+    Texts are read twice: for the signatures, and for the shingle sets of the
+    classes that any candidate pair or the prefix filter needs.
     """
     signed = materialize(signatures(df, key, text), "signatures")
     heads = signed.groupBy("c1", "c2").agg(F.min(F.struct("id", "symbols")).alias("m"))
@@ -216,38 +253,33 @@ def class_links(df: DataFrame, key: str, text: str, threshold: float, bucket: in
     members = signed.select("id", "c1", "c2").join(heads.select("c1", "c2", F.col("id").alias("rep")), ["c1", "c2"]).select("id", "rep").distinct()
     members = materialize(members, "members")
     discard(signed)
-    first = level = _met(heads.select("id", F.explode(_variants(F.col("symbols"))).alias("p")).select("id", "p.v", "p.used"), bucket)
-    pairs = level.where("used = 0").select("a", "b")
-    if levels > 1:
-        # a pair that shares a small bucket is met already: only crowded variants are combined, two of different segments
-        large = level.where("used <> 0").groupBy(F.col("b").alias("id")).agg(F.collect_set(F.struct(F.col("a").alias("v"), "used")).alias("l"))
-        other = lambda x: F.filter("l", lambda y: y["used"] > x["used"])
-        both = F.flatten(F.transform("l", lambda x: F.transform(other(x), lambda y: F.struct(x["v"].bitwiseXOR(y["v"]).alias("v"), x["used"].bitwiseOR(y["used"]).alias("used")))))
-        level = _met(large.select("id", F.explode(both).alias("p")).select("id", "p.v", "p.used"), bucket)
-        pairs = pairs.unionByName(level.where("used = 0").select("a", "b"))
-    over = level.where("used <> 0").select(F.col("b").alias("id")).distinct()
-    if not over.isEmpty():
-        pairs = pairs.unionByName(_prefix_pairs(shingle_sets(df, key, text, over), threshold))
     symbols = SEGMENTS * WIDTH
-    least = math.ceil(symbols * threshold - 3.8 * math.sqrt(symbols * threshold * (1 - threshold)))
+    least = max(1, math.ceil(symbols * threshold - 3.8 * math.sqrt(symbols * threshold * (1 - threshold))))
+    first = _met(heads, False, bucket)
+    crowded = materialize(_with_crowded(heads, first, False, 1), "crowded")
+    second = _met(crowded, True, bucket)
+    over = _with_crowded(crowded, second, True, least).select("id")
     agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
     short = F.transform("symbols", lambda x: (F.pmod(x, F.lit(251)) - 125).cast("tinyint"))
     sides = [heads.select(F.col("id").alias(i), short.alias(f"s{i}")) for i in "ab"]
-    pairs = pairs.distinct().join(sides[0], "a").join(sides[1], "b").where(agree >= least).select("a", "b")
-    pairs = materialize(pairs, "pairs")
-    discard(heads, first, level)
+    met = first.where("b is not null").unionByName(second.where("b is not null")).distinct()
+    pairs = materialize(met.join(sides[0], "a").join(sides[1], "b").where(agree >= least).select("a", "b"), "pairs")
+    over = materialize(over, "over")
+    discard(heads, first, crowded, second)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(over).distinct()
+    sets = materialize(shingle_sets(df, key, text, wanted), "sets")
+    if not over.isEmpty():
+        pairs = pairs.unionByName(_prefix_pairs(sets.join(over, "id", "left_semi"), threshold)).distinct()
     # half a hash tells nearly every pair; what it leaves within DOUBT of the threshold is decided by whole ones
-    half = materialize(_compared(df, key, text, pairs, True).where(F.col("jaccard") >= threshold - DOUBT), "links")
+    half = materialize(_compared(sets, pairs, True).where(F.col("jaccard") >= threshold - DOUBT), "links")
     doubt = half.where(F.abs(F.col("jaccard") - threshold) <= DOUBT)
-    links = half.where(F.col("jaccard") > threshold + DOUBT)
-    if not doubt.isEmpty():
-        links = links.unionByName(_compared(df, key, text, doubt.select("a", "b"), False).where(F.col("jaccard") >= threshold))
-    return members, links
+    whole = _compared(sets, doubt.select("a", "b"), False).where(F.col("jaccard") >= threshold)
+    return members, half.where(F.col("jaccard") > threshold + DOUBT).unionByName(whole)
 
 
-def similar_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.8, bucket: int = BUCKET, levels: int = LEVELS) -> DataFrame:
+def similar_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.8, bucket: int = BUCKET) -> DataFrame:
     """Every pair (doc_id_a, doc_id_b), smaller id first, of similarity >= threshold, copies included."""
-    members, links = class_links(df, key, text, threshold, bucket, levels)
+    members, links = class_links(df, key, text, threshold, bucket)
     crowded = members.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select("rep")
     copies = members.join(crowded, "rep")
     within = copies.alias("x").join(copies.alias("y"), "rep").where("x.id < y.id").select(F.col("x.id").alias("doc_id_a"), F.col("y.id").alias("doc_id_b"))
@@ -264,7 +296,7 @@ def components(edges: DataFrame) -> DataFrame:
     and a join, and the edge list is written to the shared folder in between.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    before = None
+    before, old = None, []
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -272,15 +304,17 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         e = materialize(small.where("u <> v").distinct(), "star")
+        discard(*old)
+        old = [e]
         now = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if before == tuple(now):
             return e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
         before = tuple(now)
 
 
-def version_groups(df: DataFrame, key: str, text: str, threshold: float = 0.8, bucket: int = BUCKET, levels: int = LEVELS) -> DataFrame:
+def version_groups(df: DataFrame, key: str, text: str, threshold: float = 0.8, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, class_id, group_id, n_links): group_id is the least id of the chained versions, n_links counts links of the class."""
-    members, links = class_links(df, key, text, threshold, bucket, levels)
+    members, links = class_links(df, key, text, threshold, bucket)
     links = materialize(links.select("a", "b"), "links")
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     roots = components(links).select(F.col("id").alias("rep"), "root")

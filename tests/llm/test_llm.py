@@ -51,16 +51,45 @@ def versions(seed=3):
     return out + out[-3:]
 
 
-@pytest.mark.parametrize("bucket,levels", [(16, 2), (2, 1), (2, 2)])
-def test_pairs_match_brute_force(spark, bucket, levels):
-    """Small buckets send everything through the refinement and the prefix filter."""
+@pytest.mark.parametrize("bucket", [16, 2, 1])
+def test_pairs_match_brute_force(spark, bucket):
+    """Small buckets send everything through the single symbols and the prefix filter."""
     texts = versions()
-    got = neardup.similar_pairs(frame(spark, texts), "doc_id", "text", 0.5, bucket, levels).collect()
+    got = neardup.similar_pairs(frame(spark, texts), "doc_id", "text", 0.5, bucket).collect()
     pairs = [tuple(r) for r in got]
     assert len(pairs) == len(set(pairs))
     assert set(pairs) == similar(enumerate(texts), 0.5)
 
 
+def test_no_bucket_size_loses_a_pair_at_the_threshold(spark):
+    """Families of 30 and pairs of similarity 0.50 to 0.55, boilerplate on every text: all found whatever BUCKET is."""
+    r, texts = random.Random(12), []
+    boiler = [[f"notice{k}x{i}" for i in range(24)] for k in range(3)]
+
+    def edited(base, share):
+        """A version whose shingles agree in about share of the union."""
+        own, n = list(base), len(base) - 4
+        while True:
+            at = r.randrange(len(own))
+            old, own[at] = own[at], f"e{r.randrange(10**6)}"
+            a, b = {tuple(base[i : i + 5]) for i in range(n)}, {tuple(own[i : i + 5]) for i in range(n)}
+            if len(a & b) / len(a | b) < share:
+                own[at] = old
+                return own
+
+    for family, size in enumerate([30, 30, *[2] * 60]):
+        base = [f"f{family}w{r.randrange(10**6)}" for _ in range(110)]
+        for _ in range(size):
+            texts.append(" ".join(boiler[family % 3] + (edited(base, 0.62) if size > 2 else base)))
+            base = edited(base, 0.42) if size == 2 else base
+    want = similar(enumerate(texts), 0.5)
+    near = sum(1 for a, b in want if (s := shingles(texts[a]), t := shingles(texts[b])) and len(s & t) / len(s | t) < 0.55)
+    assert near > 20 and len(want) > 200
+    for bucket in (16, 1, 1 << 30):
+        got = {tuple(x) for x in neardup.similar_pairs(frame(spark, texts), "doc_id", "text", 0.5, bucket).collect()}
+        assert got == want, (bucket, len(got), len(want))
+
+
 def test_groups_are_components(spark):
     texts = versions(5)
     pairs = similar(enumerate(texts), 0.8)
@@ -93,14 +122,26 @@ def test_bucket_pairs_across_batches():
     rows = sorted((r.randrange(40), r.randrange(500)) for _ in range(600))
     for size in (1, 7, 600):
         parts = [rows[i : i + size] for i in range(0, len(rows), size)]
-        batches = [pa.RecordBatch.from_arrays([pa.array([v for v, _ in p]), pa.array([i for _, i in p]), pa.array([1] * len(p), pa.int32())], ["v", "id", "used"]) for p in parts]
+        batches = [pa.RecordBatch.from_arrays([pa.array([v for v, _ in p]), pa.array([i for _, i in p])], ["v", "id"]) for p in parts]
         pairs, over = set(), []
         for b in neardup._bucket_pairs(15)(iter(batches)):
-            for a, c, u in zip(*(x.to_pylist() for x in b.columns)):
-                pairs.add((a, c)) if u == 0 else over.append((a, c))
+            for a, c in zip(*(x.to_pylist() for x in b.columns)):
+                over.append(a) if c is None else pairs.add((a, c))
         members = {v: [i for w, i in rows if w == v] for v, _ in rows}
         assert pairs == {(a, c) for m in members.values() if len(m) <= 15 for a in m for c in m if a < c}
-        assert sorted(over) == sorted((v, i) for v, m in members.items() if len(m) > 15 for i in m)
+        assert sorted(over) == sorted(v for v, m in members.items() if len(m) > 15)
+
+
+def test_groups_hold_the_pairs(spark):
+    """p1_groups' links and classes expand to just the pairs of similar_pairs."""
+    texts = versions(7)
+    df = frame(spark, texts)
+    groups = {r["doc_id"]: r for r in neardup.version_groups(df, "doc_id", "text", 0.5).collect()}
+    pairs = {tuple(x) for x in neardup.similar_pairs(df, "doc_id", "text", 0.5).collect()}
+    assert all(groups[a]["group_id"] == groups[b]["group_id"] for a, b in pairs)
+    reps = {r["class_id"] for r in groups.values()}
+    for c in reps:
+        assert groups[c]["n_links"] == sum(1 for a, b in pairs if c in (a, b) and {a, b} <= reps)
 
 
 # --- splitting ---
