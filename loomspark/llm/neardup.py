@@ -43,7 +43,7 @@ from ..session import arrow_map, discard, materialize
 from .words import hashed_batch, mix, slices, window_hashes
 
 SHINGLE, SEGMENTS, WIDTH, BUCKET, DOUBT = 5, 12, 3, 16, 0.02
-ROWS_AT_ONCE, BROADCAST_KEYS = 1 << 16, 2_000_000
+ROWS_AT_ONCE, BROADCAST_KEYS, PLACES = 1 << 16, 2_000_000, 1 << 18
 _rng = np.random.default_rng(20240607)
 XORS = _rng.integers(0, 2**64, SEGMENTS * WIDTH, dtype=np.uint64)
 BASE_XOR, RADIX = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
@@ -91,9 +91,9 @@ def signatures(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def shingle_sets(df: DataFrame, key: str, text: str, ids: DataFrame) -> DataFrame:
-    """(id, s) for the texts whose id is in ids(id), one row an id."""
+    """(id, s) for the texts whose id is in ids(id)."""
     rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where("text is not null")
-    return arrow_map(rows.join(ids, "id", "left_semi"), _sets, "id bigint, s array<bigint>").dropDuplicates(["id"])
+    return arrow_map(rows.join(ids, "id", "left_semi"), _sets, "id bigint, s array<bigint>")
 
 
 def _keys(symbols: np.ndarray, single: bool) -> np.ndarray:
@@ -147,30 +147,67 @@ def _crowded(single: bool, keys: Broadcast, least: int):
     return run
 
 
-def _prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """Exact candidates (a, b) among sets(id, s).
+def _halves(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The 32 upper bits of the set elements of all rows end to end, and where each row begins."""
+    lists = batch.column(1)
+    return (lists.flatten().to_numpy() >> 32).astype(np.int32), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+
+
+def _loads(size: int):
+    """(id, s) -> (place, n): elements of the part by their place in a table of ``size`` places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loads = np.zeros(size, dtype=np.int64)
+        for batch in batches:
+            loads += np.bincount(_halves(batch)[0].view(np.uint32) & np.uint32(size - 1), minlength=size)
+        at = np.flatnonzero(loads)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(loads[at], pa.int64())], ["place", "n"])
+
+    return run
+
 
-    Shingles are ordered rarest first. Of two similar sets the shorter one's
-    first n - ceil(2t/(1+t) n) + 1 and the longer one's first n - ceil(t n) + 1
-    share a shingle, at places that leave room for the overlap that t asks
-    for. A set that is half boilerplate shows none of it in the short prefix,
-    so a line that many texts share brings no pairs of its own.
+def _prefixes(loads: Broadcast, share: float):
+    """(id, s) -> (id, n, p, h): the elements that come first, those of the least loaded places before others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = loads.value
+        for batch in batches:
+            h, offsets = _halves(batch)
+            n = np.diff(offsets)
+            owner = np.repeat(np.arange(len(n)), n)
+            load = table[h.view(np.uint32) & np.uint32(len(table) - 1)]
+            by = np.lexsort((h, load, owner))
+            p = np.arange(len(h)) - offsets[:-1][owner]
+            # an element that is alone in its place has no partner
+            keep = (p < (n - np.ceil(n * share - 1e-9) + 1)[owner]) & (load[by] > 1)
+            ids = batch.column(0).take(pa.array(owner[keep]))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n[owner[keep]], pa.int32()), pa.array(p[keep], pa.int32()), pa.array(h[by][keep])], ["id", "n", "p", "h"])
+
+    return run
+
+
+def _prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """Candidates (a, b) among sets(id, s): all pairs of the threshold, and others.
+
+    Elements are ordered by how often they occur, rare ones first: any total
+    order is right, and occurrences are counted in a table of PLACES hashed
+    places, so that nothing is shuffled for it but the tables. Of two similar
+    sets the shorter one's first n - ceil(2t/(1+t) n) + 1 and the longer one's
+    first n - ceil(t n) + 1 share an element, at places that leave room for the
+    overlap that t asks for. A set that is half boilerplate shows none of it in
+    the short prefix, so a line that many texts share brings no pairs of its
+    own. Elements are 32 bits here, and t is less by DOUBT for their sake.
     """
-    posts = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("h"))
-    counts = posts.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    shared = posts.join(counts, "h").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("l"))
-    alone = F.col("n") - F.size("l")  # shingles of one text only come first and match nothing
-
-    def prefix(share: float) -> DataFrame:
-        length = (F.col("n") - F.ceil(F.col("n") * F.lit(share) - 1e-9) + 1 - alone).cast("int")
-        rows = shared.withColumn("alone", alone).withColumn("k", length).where("k > 0")
-        return rows.select("id", "n", "alone", F.posexplode(F.slice("l", F.lit(1), F.col("k"))["h"]).alias("p", "h")).withColumn("p", F.col("p") + F.col("alone")).drop("alone")
-
-    x = prefix(threshold).alias("x")
-    y = prefix(2 * threshold / (1 + threshold)).alias("y")
+    t = threshold - DOUBT
+    counted = arrow_map(sets, _loads(PLACES), "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n")).collect()
+    loads = np.zeros(PLACES, dtype=np.int64)
+    for r in counted:  # PLACES rows at most
+        loads[r["place"]] = r["n"]
+    x = arrow_map(sets, _prefixes(sets.sparkSession.sparkContext.broadcast(loads), t), "id bigint, n int, p int, h int").alias("x")
+    y = x.where(F.col("p") < F.col("n") - F.ceil(F.col("n") * F.lit(2 * t / (1 + t)) - 1e-9) + 1).alias("y")
     longer = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id")))
-    near = F.col("x.n") * threshold <= F.col("y.n")
-    room = F.least(F.col("x.n") - F.col("x.p"), F.col("y.n") - F.col("y.p")) >= threshold / (1 + threshold) * (F.col("x.n") + F.col("y.n")) - 1e-9
+    near = F.col("x.n") * t <= F.col("y.n")
+    room = F.least(F.col("x.n") - F.col("x.p"), F.col("y.n") - F.col("y.p")) >= t / (1 + t) * (F.col("x.n") + F.col("y.n")) - 1e-9
     met = x.join(y, (F.col("x.h") == F.col("y.h")) & longer & near & room)
     return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
@@ -232,11 +269,11 @@ def _with_crowded(rows: DataFrame, met: DataFrame, single: bool, least: int) ->
 
 
 def _compared(sets: DataFrame, pairs: DataFrame, short: bool) -> DataFrame:
-    """(a, b, jaccard) of pairs(a, b); by halves of the hashes when short."""
+    """(a, b, jaccard) of pairs(a, b); by halves of the hashes when short. Of texts given twice under an id the best."""
     s = F.transform("s", lambda x: F.shiftright(x, 32).cast("int")) if short else F.col("s")
     both = pairs.join(sets.select(F.col("id").alias("a"), s.alias("sa")), "a").join(sets.select(F.col("id").alias("b"), s.alias("sb")), "b")
     counted = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("m"))
-    return counted.select("a", "b", (F.col("n") / (F.col("m") - F.col("n"))).alias("jaccard"))
+    return counted.groupBy("a", "b").agg(F.max(F.col("n") / (F.col("m") - F.col("n"))).alias("jaccard"))
 
 
 def class_links(df: DataFrame, key: str, text: str, threshold: float, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
