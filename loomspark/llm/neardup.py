@@ -43,7 +43,7 @@ from ..session import arrow_map, discard, materialize
 from .words import hashed_batch, mix, slices, window_hashes
 
 SHINGLE, SEGMENTS, WIDTH, BUCKET, DOUBT = 5, 12, 3, 16, 0.02
-ROWS_AT_ONCE, BROADCAST_KEYS, PLACES = 1 << 16, 2_000_000, 1 << 18
+ROWS_AT_ONCE, BROADCAST_KEYS, PLACES = 1 << 16, 2_000_000, 1 << 16
 _rng = np.random.default_rng(20240607)
 XORS = _rng.integers(0, 2**64, SEGMENTS * WIDTH, dtype=np.uint64)
 BASE_XOR, RADIX = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
@@ -298,15 +298,21 @@ def class_links(df: DataFrame, key: str, text: str, threshold: float, bucket: in
     over = _with_crowded(crowded, second, True, least).select("id")
     agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
     short = F.transform("symbols", lambda x: (F.pmod(x, F.lit(251)) - 125).cast("tinyint"))
-    sides = [heads.select(F.col("id").alias(i), short.alias(f"s{i}")) for i in "ab"]
+
+    def plausible(some: DataFrame, rows: DataFrame) -> DataFrame:
+        sides = [rows.select(F.col("id").alias(i), short.alias(f"s{i}")) for i in "ab"]
+        return some.join(sides[0], "a").join(sides[1], "b").where(agree >= least).select("a", "b")
+
     met = first.where("b is not null").unionByName(second.where("b is not null")).distinct()
-    pairs = materialize(met.join(sides[0], "a").join(sides[1], "b").where(agree >= least).select("a", "b"), "pairs")
+    pairs = materialize(plausible(met, heads), "pairs")
     over = materialize(over, "over")
-    discard(heads, first, crowded, second)
+    discard(heads, first, second)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(over).distinct()
     sets = materialize(shingle_sets(df, key, text, wanted), "sets")
     if not over.isEmpty():
-        pairs = pairs.unionByName(_prefix_pairs(sets.join(over, "id", "left_semi"), threshold)).distinct()
+        exact = _prefix_pairs(sets.join(over, "id", "left_semi"), threshold)
+        pairs = materialize(pairs.unionByName(plausible(exact, crowded)).distinct(), "pairs")
+    discard(crowded)
     # half a hash tells nearly every pair; what it leaves within DOUBT of the threshold is decided by whole ones
     half = materialize(_compared(sets, pairs, True).where(F.col("jaccard") >= threshold - DOUBT), "links")
     doubt = half.where(F.abs(F.col("jaccard") - threshold) <= DOUBT)
