@@ -6,13 +6,14 @@ merge updates at most three leaves and their paths, so a run of n bytes takes
 O(n log n) however long it is. Ids of short pre-tokens are remembered per
 worker; the memory is bounded and only saves time.
 
-The vocabulary file's path is a parameter; the file must be present on the
+The vocabulary file's path is a parameter; the driver sends the file to the
 executors, which read it once per worker.
 """
 
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -20,8 +21,10 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import arrow_map
 from .words import slices
 
 # fixed value: the pattern that splits text before the merges of byte_bpe_50k
@@ -122,7 +125,8 @@ def encoder(path: str):
 
 def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        sent = SparkFiles.get(os.path.basename(path))
+        encode = encoder(sent if os.path.exists(sent) else path)
         for batch in slices(batches, 1):
             lists = [np.array(encode(t), dtype=np.int32) for t in batch.column(1).to_pylist()]
             ends = np.zeros(len(lists) + 1, dtype=np.int32)
@@ -139,4 +143,6 @@ def encode_corpus(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULA
     The string of a special token is ordinary text. Rows repeated stay repeated; map-only, no shuffle.
     """
     rows = df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_encoded(vocabulary), "doc_id bigint, ids array<int>")
+    if os.path.exists(vocabulary):  # else it has to be on the executors
+        df.sparkSession.sparkContext.addFile(vocabulary)
+    return arrow_map(rows, _encoded(vocabulary), "doc_id bigint, ids array<int>")

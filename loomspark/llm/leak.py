@@ -7,25 +7,33 @@ matches that do not overlap are marked again and again, each found by
 extending the rolling-hash seeds, until none of ``min_words`` is left.
 Coverage of the passage by its tiles finds reordered copies too.
 
-Items are few beside the corpus: they are collected in blocks of at most
-``block_items`` (their number is counted first) and every block is held
-against all documents in one map-only pass without a shuffle.
+Items whose texts have at most BROADCAST_CHARS characters, which are counted,
+go to the workers, and one map-only pass over the documents does everything.
+More items are joined: a bitmap of their seeds, of fixed size, thins out the
+documents' seeds in one pass, equal seeds are joined, and only the texts that
+share one with a passage are fetched and tiled. Documents are read once for
+their seeds however many items there are.
 """
 
 from __future__ import annotations
 
-import math
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from .words import slices, words
+from ..session import arrow_map, materialize
+from .words import HASHES, hashed_batch, slices, words
 
+BROADCAST_CHARS, BITS = 8_000_000, 27
+COVERAGE, LEAK_WORDS = 0.5, 5  # a leaked passage: half of it, in tiles of five words or more
+TILE_NAMES = ["doc_id", "item_id", "passage", "passage_words", "matched_words", "tiles", "longest"]
 TILE_SCHEMA = "doc_id bigint, item_id bigint, passage int, passage_words int, matched_words int, tiles int, longest int"
 RADIX = np.uint64(0x9E3779B97F4A7C15)
+ZERO, ONE = np.uint64(0), np.ones(1, dtype=np.uint64)
+INVERSE = np.uint64(pow(int(RADIX), -1, 1 << 64))
 
 
 def rolled(ids: np.ndarray, width: int) -> np.ndarray:
@@ -40,89 +48,157 @@ def rolled(ids: np.ndarray, width: int) -> np.ndarray:
     return h
 
 
-def tile(text: list[int], passage: list[int], min_words: int) -> list[tuple[int, int, int]]:
-    """Tiles (start in text, start in passage, length), longest first; of equal ones the first in text, then in passage."""
-    marked_t, marked_p = bytearray(len(text)), bytearray(len(passage))
-    spots = defaultdict(list)
-    for j, h in enumerate(rolled(np.array(passage, dtype=np.uint64), min_words).tolist()):
-        spots[h].append(j)
-    seeds = [(i, j) for i, h in enumerate(rolled(np.array(text, dtype=np.uint64), min_words).tolist()) for j in spots.get(h, ())]
-    seeds = [(i, j) for i, j in seeds if text[i : i + min_words] == passage[j : j + min_words]]
-    tiles = []
-    while seeds:
-        best = (0, 0, 0)
-        reach: dict[tuple[int, int], int] = {}
-        left = []
-        for i, j in reversed(seeds):  # a seed one step later tells how far this one reaches
-            if any(marked_t[i : i + min_words]) or any(marked_p[j : j + min_words]):
+class _Runs:
+    """Hashes of the runs of any width of a sequence of ids, less what is marked."""
+
+    def __init__(self, ids: np.ndarray):
+        n = len(ids)
+        self.ids, self.free = ids, np.ones(n, dtype=bool)
+        self.back = np.cumprod(np.concatenate([ONE, np.full(n, INVERSE)]), dtype=np.uint64)
+        powers = np.cumprod(np.concatenate([ONE, np.full(n, RADIX)]), dtype=np.uint64)[:n]
+        self.sums = np.concatenate([ONE * ZERO, np.cumsum(ids * powers, dtype=np.uint64)])
+
+    def of(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(start, hash) of the free runs of the width."""
+        free = np.concatenate([[0], np.cumsum(self.free)])
+        starts = np.flatnonzero(free[width:] - free[:-width] == width)
+        return starts, (self.sums[starts + width] - self.sums[starts]) * self.back[starts]
+
+
+def tile(text: np.ndarray, passage: np.ndarray, min_words: int) -> list[tuple[int, int, int]]:
+    """Tiles (start in text, start in passage, length), longest first; of equal ones the first in text, then in passage.
+
+    The greatest length at which free runs of both have an equal hash is found
+    by halving, the runs of it are compared and marked, and so on downwards: no
+    list of all matches is made, however often a phrase repeats.
+    """
+    t, p = _Runs(np.asarray(text, dtype=np.uint64)), _Runs(np.asarray(passage, dtype=np.uint64))
+    tiles, most = [], min(len(t.ids), len(p.ids))
+
+    def meet(width: int) -> bool:
+        return bool(np.isin(p.of(width)[1], t.of(width)[1]).any())
+
+    while most >= min_words and meet(min_words):
+        low, high = min_words, most
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if meet(middle) else (low, middle - 1)
+        starts, hashes = t.of(low)
+        places: dict[int, list[int]] = {}
+        for j, h in zip(*(x.tolist() for x in p.of(low))):
+            places.setdefault(h, []).append(j)
+        hit = np.isin(hashes, p.of(low)[1])
+        taken = 0
+        for i, h in zip(starts[hit].tolist(), hashes[hit].tolist()):
+            if i < taken:
                 continue
-            length = reach.get((i + 1, j + 1), min_words - 1) + 1
-            reach[i, j] = length
-            left.append((i, j))
-            if length >= best[0]:
-                best = max(best, (length, -i, -j))
-        if not best[0]:
-            break
-        length, i, j = best[0], -best[1], -best[2]
-        tiles.append((i, j, length))
-        marked_t[i : i + length] = b"\1" * length
-        marked_p[j : j + length] = b"\1" * length
-        seeds = left[::-1]
+            j = next((j for j in places[h] if p.free[j : j + low].all() and np.array_equal(t.ids[i : i + low], p.ids[j : j + low])), None)
+            if j is None:
+                continue
+            tiles.append((i, j, low))
+            taken = i + low
+            t.free[i:taken] = p.free[j : j + low] = False
+            if not len(p.of(low)[0]):
+                break
+        most = low - 1
     return tiles
 
 
-class _Vocabulary(dict):
-    def __missing__(self, word: str) -> int:
-        return 0
+def _codes(ws: list[str]) -> np.ndarray:
+    return np.fromiter(map(HASHES.__getitem__, ws), dtype=np.uint64, count=len(ws))
+
+
+def _tile_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(TILE_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), *[pa.int32()] * 5))], TILE_NAMES)
+
+
+def _tiled(doc: int, item: int, number: int, text: np.ndarray, passage: np.ndarray, min_words: int) -> list[tuple]:
+    found = tile(text, passage, min_words)
+    return [(doc, item, number, len(passage), sum(x[2] for x in found), len(found), found[0][2])] if found else []
 
 
 def _tiler(passages: list[tuple[int, int, list[str]]], min_words: int):
-    vocabulary = _Vocabulary()
-    for _, _, ws in passages:
-        for w in ws:
-            if w not in vocabulary:
-                vocabulary[w] = len(vocabulary) + 1
-    coded = [(item, number, [vocabulary[w] for w in ws]) for item, number, ws in passages]
-    owners = defaultdict(set)
-    for k, (_, _, ids) in enumerate(coded):
-        for h in rolled(np.array(ids, dtype=np.uint64), min_words).tolist():
-            owners[h].add(k)
-    seeds = np.array(sorted(owners), dtype=np.uint64)
+    """Tiles of every text with the passages, which are all here."""
+    coded = [(item, number, _codes(ws)) for item, number, ws in passages]
+    seeds = [rolled(ids, min_words) for _, _, ids in coded]
+    owner = np.repeat(np.arange(len(coded)), [len(x) for x in seeds])
+    seeds = np.concatenate([*seeds, np.empty(0, dtype=np.uint64)])
+    order = np.argsort(seeds, kind="stable")
+    seeds, owner = seeds[order], owner[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
-            docs, out = batch.column(0).to_pylist(), []
-            for doc, text in zip(docs, batch.column(1).to_pylist()):
-                if not text or not len(seeds):
-                    continue
-                ids = list(map(vocabulary.__getitem__, words(text)))
-                array = np.array(ids, dtype=np.uint64)
-                if len(ids) < min_words:
-                    continue
-                unknown = np.concatenate([[0], np.cumsum(array == 0)])
-                whole = np.flatnonzero(unknown[min_words:] == unknown[:-min_words])  # windows of known words only
-                if not len(whole):
-                    continue
-                h = np.zeros(len(whole), dtype=np.uint64)
-                for j in range(min_words):
-                    h *= RADIX
-                    h += array[whole + j]
-                spot = np.searchsorted(seeds, h)
-                hits = h[seeds[np.minimum(spot, len(seeds) - 1)] == h]
-                for k in sorted(set().union(*(owners[x] for x in set(hits.tolist())))):
+            flat, offsets = hashed_batch(batch.column(1).to_pylist())
+            h = rolled(flat, min_words)
+            spot = np.searchsorted(seeds, h)
+            hit = np.flatnonzero(seeds[np.minimum(spot, max(len(seeds) - 1, 0))] == h) if len(seeds) else np.empty(0, dtype=np.int64)
+            doc = np.searchsorted(offsets, hit, side="right") - 1
+            inside = hit + min_words <= offsets[doc + 1]  # runs over the end of a text are none
+            hit, doc, out = hit[inside], doc[inside], []
+            ends = np.searchsorted(seeds, h[hit], side="right")
+            for d in np.unique(doc).tolist():
+                own = doc == d
+                met = np.unique(np.concatenate([owner[a:b] for a, b in zip(spot[hit[own]].tolist(), ends[own].tolist())]))
+                for k in met.tolist():
                     item, number, passage = coded[k]
-                    tiles = tile(ids, passage, min_words)
-                    if tiles:
-                        out.append((doc, item, number, len(passage), sum(t[2] for t in tiles), len(tiles), tiles[0][2]))
-            names = ["doc_id", "item_id", "passage", "passage_words", "matched_words", "tiles", "longest"]
-            kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5]
-            columns = list(zip(*out)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+                    out += _tiled(batch.column(0)[d].as_py(), item, number, flat[offsets[d] : offsets[d + 1]], passage, min_words)
+            yield _tile_batch(out)
 
     return run
 
 
-def tiles(docs: DataFrame, key: str, text: str, items: DataFrame, min_words: int = 13, block_items: int = 5_000) -> DataFrame:
+def _seeds(min_words: int, bitmap: Broadcast | None):
+    """(key..., text) -> (key..., h): the different seeds of each text, those in the bitmap if there is one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None if bitmap is None else np.frombuffer(bitmap.value, dtype=np.uint8)
+        for batch in slices(batches, -1):
+            flat, offsets = hashed_batch(batch.column(batch.num_columns - 1).to_pylist())
+            lists = []
+            for a, b in zip(offsets[:-1], offsets[1:]):
+                h = np.unique(rolled(flat[a:b], min_words))
+                if bits is not None:
+                    place = h >> np.uint64(64 - BITS)
+                    h = h[(bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+                lists.append(h)
+            owner = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
+            keys = [batch.column(i).take(owner) for i in range(batch.num_columns - 1)]
+            values = pa.array(np.concatenate([*lists, np.empty(0, dtype=np.uint64)]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*keys, values], [*batch.schema.names[:-1], "h"])
+
+    return run
+
+
+def _tiles_of(min_words: int):
+    """(doc_id, item_id, passage, ptext, text) -> tiles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4):
+            out = []
+            for doc, item, number, passage, text in zip(*(c.to_pylist() for c in batch.columns)):
+                out += _tiled(doc, item, number, _codes(words(text)), _codes(words(passage)), min_words)
+            yield _tile_batch(out)
+
+    return run
+
+
+def _joined_tiles(corpus: DataFrame, passages: DataFrame, min_words: int) -> DataFrame:
+    seeds = materialize(arrow_map(passages, _seeds(min_words, None), "item_id bigint, passage int, h bigint"), "seeds")
+    place = F.shiftrightunsigned("h", 64 - BITS)
+    parts = seeds.groupBy(F.floor(place / 32768).alias("part")).agg(F.bitmap_construct_agg((place % 32768)).alias("bits"))
+    bitmap = bytearray((1 << BITS) // 8)
+    for r in parts.toLocalIterator():  # at most 2^BITS bits, whatever the items
+        bitmap[r["part"] * 4096 : (r["part"] + 1) * 4096] = r["bits"]
+    shared = corpus.sparkSession.sparkContext.broadcast(bytes(bitmap))
+    met = arrow_map(corpus, _seeds(min_words, shared), "doc_id bigint, h bigint").join(seeds, "h").select("doc_id", "item_id", "passage").distinct()
+    met = materialize(met, "met")
+    texts = corpus.join(met.select("doc_id").distinct(), "doc_id", "left_semi")
+    rows = met.join(passages.withColumnRenamed("text", "ptext"), ["item_id", "passage"]).join(texts, "doc_id")
+    return arrow_map(rows.select("doc_id", "item_id", "passage", "ptext", "text"), _tiles_of(min_words), TILE_SCHEMA)
+
+
+def tiles(docs: DataFrame, key: str, text: str, items: DataFrame, min_words: int = 13, most_chars: int = BROADCAST_CHARS) -> DataFrame:
     """One row of TILE_SCHEMA per document and item passage with a tile of at least min_words words.
 
     items(item_id, passages array<string>). Null and empty texts and passages
@@ -131,19 +207,18 @@ def tiles(docs: DataFrame, key: str, text: str, items: DataFrame, min_words: int
     or number. Empty tables give no rows.
     """
     corpus = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("text is not null")
-    blocks = max(1, math.ceil(items.count() / block_items))
-    out = None
-    for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        passages = []
-        for row in part.select("item_id", "passages").toLocalIterator():
-            passages += [(row["item_id"], n, w) for n, p in enumerate(row["passages"] or []) if p and len(w := words(p)) >= min_words]
-        found = corpus.mapInArrow(_tiler(passages, min_words), TILE_SCHEMA)
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def leaks(tiled: DataFrame, coverage: float = 0.0) -> DataFrame:
-    """(doc_id, item_id, coverage, tiles, longest): best covered passage of each pair, from coverage on."""
+    passages = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.posexplode("passages").alias("passage", "text")).where("text <> ''")
+    if (passages.agg(F.sum(F.length("text"))).first()[0] or 0) > most_chars:
+        return _joined_tiles(corpus, passages, min_words)
+    here = [(r["item_id"], r["passage"], w) for r in passages.collect() if len(w := words(r["text"])) >= min_words]
+    return arrow_map(corpus, _tiler(here, min_words), TILE_SCHEMA)
+
+
+def leaks(tiled: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """(doc_id, item_id, coverage, tiles, longest): best covered passage of each pair, of those covered by ``coverage`` at least.
+
+    With tiles of few words a passage whose sentences come in another order, or
+    with others in between, is covered as well as one copied whole.
+    """
     share = F.col("matched_words") / F.col("passage_words")
     return tiled.groupBy("doc_id", "item_id").agg(F.max(share).alias("coverage"), F.sum("tiles").alias("tiles"), F.max("longest").alias("longest")).where(F.col("coverage") >= coverage)

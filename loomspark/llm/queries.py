@@ -67,10 +67,10 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(_texts(spark, sf_dir), "doc_id", "text")
 
 
-def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _tiles(spark: SparkSession, sf_dir: str, min_words: int = 13) -> DataFrame:
     items = table(spark, sf_dir, "eval_item", "item_id", "ground_truth", "gold_contexts")
     passages = F.concat(F.array("ground_truth"), F.coalesce("gold_contexts", F.array().cast("array<string>")))
-    return leak.tiles(_texts(spark, sf_dir), "doc_id", "text", items.select("item_id", passages.alias("passages")))
+    return leak.tiles(_texts(spark, sf_dir), "doc_id", "text", items.select("item_id", passages.alias("passages")), min_words)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leak.leaks(_tiles(spark, sf_dir))
+    """Passages of which half or more is in a text, in tiles of five words or more and any order."""
+    return leak.leaks(_tiles(spark, sf_dir, leak.LEAK_WORDS))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,9 +157,31 @@ def test_pieces_cover_and_fit(text, size, overlap):
     assert got[0][0] == 0 and got[-1][1] == len(text)
     assert all(0 < b - a <= size for a, b in got)
     assert all(a < c and b - overlap <= c <= b for (a, b), (c, _) in zip(got, got[1:]))
+    assert not overlap or all(c < b for (_, b), (c, _) in zip(got, got[1:]))
     assert (len(got) > 1) == (len(text) > size)
 
 
+def test_overlap_is_never_nothing():
+    text = " ".join(("x" * 900 + " " + " ".join(["ab"] * 10)) for _ in range(4))
+    got = splitting.pieces(text)
+    assert all(0 < b - c <= 100 for (_, b), (c, _) in zip(got, got[1:]))
+    assert all(b - c == 100 for (_, b), (c, _) in zip(got, got[1:]) if " " not in text[b - 100 : b - 1])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.text(alphabet="ab c", max_size=9), max_size=14), max_size=4))
+def test_cohesion_is_the_cosine_of_the_blocks(texts):
+    from collections import Counter
+
+    for units, sims in zip(texts, splitting.cohesion(texts)):
+        bags = [Counter(words(u)) for u in units]
+        for g in range(1, len(units)):
+            a, b = (sum(x, Counter()) for x in (bags[max(0, g - 3) : g], bags[g : g + 3]))
+            norm = (sum(v * v for v in a.values()) * sum(v * v for v in b.values())) ** 0.5
+            assert abs(sims[g - 1] - (sum(a[w] * b[w] for w in a) / norm if norm else 0.0)) < 1e-9
+        assert len(sims) == max(len(units) - 1, 0)
+
+
 def test_a_topic_change_is_a_cut():
     one = " ".join(f"The cat and dog number {i} play with the cat." for i in range(12))
     two = " ".join(f"Stocks and bonds rose in market {i} of bonds." for i in range(12))
@@ -420,8 +442,8 @@ def leaked(docs, items, n=13):
     return out
 
 
-@pytest.mark.parametrize("block", [5000, 3])
-def test_leaks_match_brute_force(spark, block):
+@pytest.mark.parametrize("most", [8_000_000, 0])
+def test_leaks_match_brute_force(spark, most):
     r = random.Random(11)
     vocabulary = [f"t{i}" for i in range(60)]
     items = [(k, [" ".join(r.choices(vocabulary, k=r.randint(5, 50))) for _ in range(2)] + [None, ""]) for k in range(8)] + [(8, None), (9, []), (1, ["t1 " * 20])]
@@ -434,10 +456,52 @@ def test_leaks_match_brute_force(spark, block):
             w += [x.upper() for x in src[a : a + r.randint(8, 30)]] + r.choices(vocabulary, k=3)
         texts.append("-".join(w))
     df = spark.createDataFrame(items, "item_id bigint, passages array<string>")
-    tiled = leak.tiles(frame(spark, texts), "doc_id", "text", df, 13, block)
+    tiled = leak.tiles(frame(spark, texts), "doc_id", "text", df, 13, most)
     got = {(x["doc_id"], x["item_id"]) for x in tiled.collect()}
     assert got == leaked(enumerate(texts), items)
-    assert leak.leaks(tiled).where("coverage > 1 or coverage <= 0").count() == 0
+    assert leak.leaks(tiled, 0.0).where("coverage > 1 or coverage <= 0").count() == 0
+
+
+def greedy(t, p, least):
+    """Greedy string tiling by definition."""
+    free_t, free_p, out = [True] * len(t), [True] * len(p), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(t)):
+            for j in range(len(p)):
+                n = 0
+                while i + n < len(t) and j + n < len(p) and t[i + n] == p[j + n] and free_t[i + n] and free_p[j + n]:
+                    n += 1
+                best = max(best, (n, -i, -j))
+        n, i, j = best[0], -best[1], -best[2]
+        if n < least:
+            return out
+        out.append((i, j, n))
+        free_t[i : i + n] = free_p[j : j + n] = [False] * n
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 3), max_size=40), st.lists(st.integers(1, 3), max_size=25), st.integers(1, 4))
+def test_tiles_are_the_greedy_ones(t, p, least):
+    assert leak.tile(t, p, least) == greedy(t, p, least)
+
+
+def test_a_repeated_phrase_is_tiled_quickly():
+    import time
+
+    began = time.time()
+    assert sum(x[2] for x in leak.tile([1, 2] * 100_000, [1, 2] * 100, 5)) == 200 and time.time() - began < 20
+
+
+def test_reordered_copies_are_covered(spark):
+    """Sentences of a passage in another order, none of 13 words, are a leak by coverage; a part is none."""
+    r = random.Random(5)
+    sentences = [" ".join(f"p{i}w{r.randrange(1000)}" for _ in range(9)) for i in range(6)]
+    texts = [" noise ".join(reversed(sentences)), " noise ".join(sentences[:2]), "nothing here at all of it", " ".join(sentences)]
+    items = spark.createDataFrame([(1, [" ".join(sentences)])], "item_id bigint, passages array<string>")
+    for most in (8_000_000, 0):
+        found = leak.leaks(leak.tiles(frame(spark, texts), "doc_id", "text", items, leak.LEAK_WORDS, most))
+        assert {x["doc_id"]: (round(x["coverage"], 3), x["tiles"]) for x in found.collect()} == {0: (1.0, 6), 3: (1.0, 1)}
 
 
 def test_tiling_finds_reordered_copies():
