@@ -538,10 +538,10 @@ def test_garbled_texts_are_found_and_restored(spark, corpus, wrong):
     texts[100] = texts[100].encode("utf-8").decode("latin_1").encode("utf-8").decode("latin_1")
     texts[101] = texts[101].replace("é", "�") + "�"
     df = frame(spark, [*texts, None, "", "ascii only"])
-    found, counts = mojibake.garbled(df, "doc_id", "text", "source")
+    found, _ = mojibake.garbled(df, "doc_id", "text", "source")
     ids = {r["doc_id"] for r in found.collect()}
     assert ids == {i for i in range(0, 60, 3)} | {100, 101}
-    back = {r["doc_id"]: r for r in mojibake.repairs(df, "doc_id", "text", found, counts).collect()}
+    back = {r["doc_id"]: r for r in mojibake.repairs(df, "doc_id", "text", "source").collect()}
     assert all(back[i]["text"] == corpus[i] for i in [*range(0, 60, 3), 100])
     assert not back[101]["recovered"]
 
@@ -554,6 +554,19 @@ def test_single_byte_chain_and_decoys(spark, corpus):
     assert {r["doc_id"] for r in found.collect()} == {0, 1, 2, 3}
 
 
+def test_letters_that_became_symbols(spark, corpus):
+    """Words whose letters show as symbols under a single-byte chain are found and restored, and other scripts by UTF-8."""
+    texts = list(corpus)
+    raw = f"Köln: Prüfung der Straße, {CLEAN[1]}".replace("“", '"').replace("”", '"').encode("cp1252")
+    texts[0] = mojibake.codecs.charmap_decode(raw, "strict", mojibake.TABLES["cp850"])[0]
+    asia = "東京 の 会議 は 大阪 で" + " plain text" * 3
+    texts[10] = asia.encode("utf-8").decode("latin_1")
+    df = frame(spark, texts)
+    back = {r["doc_id"]: r for r in mojibake.repairs(df, "doc_id", "text", "source").collect()}
+    assert set(back) == {0, 10} and back[0]["text"] == raw.decode("cp1252") and back[0]["recovered"]
+    assert back[10]["text"] == asia
+
+
 def test_garbled_of_nothing(spark):
     assert mojibake.garbled(frame(spark, []), "doc_id", "text", "source")[0].count() == 0
     assert mojibake.garbled(frame(spark, [None, ""]), "doc_id", "text", "source")[0].count() == 0
