@@ -77,8 +77,10 @@ def _usual(c: str) -> bool:
     return o < 0x80 or 0xA0 <= o < 0x250 or 0x370 <= o < 0x530 or 0x2010 <= o < 0x2040 or 0x20A0 <= o < 0x20C0 or 0x2100 <= o < 0x2200
 
 
-def _any_script(c: str) -> bool:
-    return _usual(c) or any(a <= ord(c) < b for a, b in SCRIPTS)
+def _likely(unit: str) -> bool:
+    """Whether unit is of the usual characters, with two letters of another script at least if it has any: one alone is chance."""
+    other = [c for c in unit if not _usual(c)]
+    return not other or (len(other) > 1 and all(any(a <= ord(c) < b for a, b in SCRIPTS) for c in other) and sum(map(str.isalpha, other)) > 1)
 
 
 def symbols(code: np.ndarray) -> np.ndarray:
@@ -95,7 +97,7 @@ def undo(unit: str, wrong: str, twice: int = 3) -> str | None:
             unit = codecs.charmap_encode(unit, "strict", ENCODERS[wrong])[0].decode("utf-8")
         except UnicodeError:
             return done
-        if all(map(_any_script, unit)):
+        if _likely(unit):
             done = unit
         twice -= 1
     return done
