@@ -1,14 +1,16 @@
 """Language of texts and of their lines, with a confidence.
 
 Method: nearest centroid. Lines become L2-normalised TF-IDF vectors of hashed
-character trigrams; each language has several centroids, found by spherical
-k-means; the language of the nearest one by cosine is taken, and nothing where
-the cosine stays below what the language's own lines reach (codes, symbols,
-other languages). Garbled lines are compared in their restored wording. In a
-text of several languages a line counts for another than the main one only if
-all its runs of words are in it.
-
-The centroids are fitted on at most TRAIN_DOCS labelled documents, chosen by a
+character trigrams of any script; each language has several centroids, found
+by spherical k-means; the language of the nearest one by cosine is taken, and
+nothing where the cosine stays below what lines of that length reach with
+their own language (codes, symbols, other languages). That least cosine is
+measured on lines held out from the centroids. Garbled lines are compared in
+their restored wording. In a text of several languages a line counts for
+another than the main one only if all its runs of words are in it.
+
+The languages are a parameter. Centroids and least cosines are fitted on at
+most TRAIN_LINES lines of at most TRAIN_DOCS labelled documents, chosen by a
 hash of the key; wrong labels among them are left out by comparing every line
 with the languages' means first. Classification reads every whole text in one
 map-only pass.
@@ -16,27 +18,35 @@ map-only pass.
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import arrow_map
 from .mojibake import HARD, RUN, SINGLE, UTF8_READ_AS, swap, undo
 from .words import slices
 
 LANGUAGES = ("en", "it", "fr", "de", "es", "pt", "ru")
-TRAIN_DOCS, TRAIN_LINES, CENTROIDS, DIMENSIONS, LINES_AT_ONCE = 1500, 12_000, 4, 2048, 256
-MIN_WORDS, FLOOR, NEAR, SHARPNESS, WINDOW, CLEAR = 12, 0.5, 0.03, 0.04, 8, 0.1
+TRAIN_DOCS, TRAIN_LINES, CENTROIDS, DIMENSIONS, LINES_AT_ONCE = 1500, 12_000, 4, 4096, 256
+MIN_WORDS, NEAR, SHARPNESS, WINDOW, CLEAR = 12, 0.03, 0.04, 8, 0.1
+HELD_OUT, ENOUGH, LOW, SLACK, LENGTHS = 4, 50, 0.002, 0.8, (80, 120, 180, 300)  # every fourth line is held out; trigrams of a line
 SWITCH = 0.1
 _CYRILLIC = [p for p in SINGLE if p[0] in ("koi8_r", "cp1251", "cp866")]
-_CLASS = np.full(0x500, 32, dtype=np.uint64)
-for _c in range(0x500):
-    if chr(_c).isalpha():
-        _CLASS[_c] = ord(chr(_c).lower()[0])
+
+
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Code point -> the letter in lower case, a blank for anything else."""
+    out = np.full(0x110000, 32, dtype=np.uint32)
+    for c in range(65, 0x32000):
+        if (x := chr(c)).isalpha():
+            out[c] = ord(x.lower()[0])
+    return out
 
 
 def _trigrams(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -44,7 +54,7 @@ def _trigrams(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     text = " \n".join([" " + x for x in lines]) + " \n"
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     ends = np.flatnonzero(code == 10)
-    c = _CLASS[np.minimum(code, 0x4FF)]
+    c = _letters()[np.minimum(code, 0x10FFFF)].astype(np.uint64)
     h = c[:-2] * np.uint64(0x9E3779B1) + c[1:-1] * np.uint64(0x85EBCA77) + c[2:] * np.uint64(0xC2B2AE3D)
     h = ((h ^ (h >> np.uint64(15))) * np.uint64(0x2C1B3C6D) >> np.uint64(7)) & np.uint64(DIMENSIONS - 1)
     sizes = np.diff(np.concatenate([[-1], ends]))
@@ -69,24 +79,32 @@ class Centroids:
     idf: np.ndarray
     rows: np.ndarray  # centroids x DIMENSIONS
     owner: np.ndarray  # language index of each centroid
-    floor: np.ndarray  # least cosine per language
+    floor: np.ndarray  # languages x lengths: least cosine of lines of up to each of LENGTHS, and of longer ones
+    languages: tuple[str, ...] = LANGUAGES
 
     def cosines(self, lines: list[str]) -> np.ndarray:
         """lines x languages: the best cosine with any centroid of the language (-1 without one)."""
-        out = np.full((len(lines), len(LANGUAGES)), -1.0, dtype=np.float32)
+        return self.compared(lines)[0]
+
+    def compared(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(cosines, the least cosine that counts for each line and language)."""
+        out, least = np.full((len(lines), len(self.languages)), -1.0, dtype=np.float32), np.ones((len(lines), len(self.languages)))
         for at in range(0, len(lines), LINES_AT_ONCE):
-            x = counts(lines[at : at + LINES_AT_ONCE]) * self.idf
+            x = counts(lines[at : at + LINES_AT_ONCE])
+            least[at : at + len(x)] = self.floor[:, np.searchsorted(LENGTHS, np.rint((x * x).sum(1)))].T
+            x *= self.idf
             s = x @ self.rows.T / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
             for k in np.unique(self.owner):
                 out[at : at + len(x), k] = s[:, self.owner == k].max(1)
-        return out
+        return out, least
 
 
-def fit(lines: list[str], labels: list[int], centroids: int = CENTROIDS) -> Centroids:
+def fit(lines: list[str], labels: list[int], centroids: int = CENTROIDS, languages: tuple[str, ...] = LANGUAGES) -> Centroids:
     """Centroids of labelled lines; deterministic, ties to the earlier language."""
     y = np.array(labels, dtype=np.int64)
+    floor = np.ones((len(languages), len(LENGTHS) + 1))
     if not len(y):
-        return Centroids(np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, np.int64), np.ones(len(LANGUAGES)))
+        return Centroids(np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, np.int64), floor, languages)
     x = np.concatenate([counts(lines[i : i + LINES_AT_ONCE]) for i in range(0, len(lines), LINES_AT_ONCE)])
     idf = np.log((1 + len(y)) / (1 + (x > 0).sum(0))).astype(np.float32) + 0.1
     x *= idf
@@ -96,9 +114,9 @@ def fit(lines: list[str], labels: list[int], centroids: int = CENTROIDS) -> Cent
     for _ in range(3):
         means = _unit(np.stack([x[(y == k) & keep].mean(0) if ((y == k) & keep).any() else x[y == k].mean(0) for k in present]))
         keep = present[(x @ means.T).argmax(1)] == y
-    rows, owner, floor = [], [], np.ones(len(LANGUAGES))
+    rows, owner, held = [], [], np.arange(len(y)) % HELD_OUT == HELD_OUT - 1
     for k in present:
-        own = x[(y == k) & keep]
+        own = x[(y == k) & keep & ~held]
         if not len(own):
             continue
         spread = np.linspace(0, len(own) - 1, min(centroids, len(own))).astype(int)
@@ -108,8 +126,21 @@ def fit(lines: list[str], labels: list[int], centroids: int = CENTROIDS) -> Cent
             c = _unit(np.stack([own[near == j].mean(0) if (near == j).any() else c[j] for j in range(len(c))]))
         rows.append(c)
         owner += [k] * len(c)
-        floor[k] = np.quantile((own @ c.T).max(1), 0.002) * FLOOR
-    return Centroids(idf, np.concatenate(rows).astype(np.float32), np.array(owner), floor)
+    model = Centroids(idf, np.concatenate(rows or [x[:0]]).astype(np.float32), np.array(owner, dtype=np.int64), floor, languages)
+    # held-out lines, whole and cut to the shortest that count
+    tests = [(z, y[i]) for i in np.flatnonzero(held & keep) for z in {lines[i], " ".join(lines[i].split(None, MIN_WORDS)[:MIN_WORDS])}]
+    cos = model.cosines([t for t, _ in tests])
+    size = np.array([(counts([t]) ** 2).sum() for t, _ in tests]).round() if tests else np.zeros(0)
+    own = cos[np.arange(len(tests)), [k for _, k in tests]] if tests else np.zeros(0)
+    part, of = np.searchsorted(LENGTHS, size), np.array([k for _, k in tests])
+    last = np.quantile(own, LOW) * SLACK if len(own) else 0.0
+    for b in range(floor.shape[1]):
+        if (part == b).sum() >= ENOUGH:
+            last = np.quantile(own[part == b], LOW) * SLACK
+        for k in present:  # a language with few lines of the length shares the others' least
+            some = own[(part == b) & (of == k)]
+            floor[k, b] = np.quantile(some, LOW) * SLACK if len(some) >= ENOUGH else last
+    return model
 
 
 def restored(line: str) -> str:
@@ -128,17 +159,19 @@ def restored(line: str) -> str:
 def classify(model: Centroids, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(language index or -1, cosines) of each line."""
     lines = [x if x.isascii() else restored(x) for x in lines]
-    cos = model.cosines(lines)
+    cos, least = model.compared(lines)
     best = cos.argmax(1) if len(lines) else np.empty(0, dtype=np.int64)
-    rejected = cos[np.arange(len(lines)), best] < model.floor[best]
+    every = np.arange(len(lines))
+    rejected = cos[every, best] < least[every, best]
     for i in np.flatnonzero(rejected):
         if not lines[i].isascii():
             options = [o for a, b in _CYRILLIC if (o := swap(lines[i], a, b)) is not None]
             if options:
-                c = model.cosines(options)
+                c, enough = model.compared(options)
                 at = int(c.max(1).argmax())
-                if c[at].max() >= model.floor[int(c[at].argmax())]:
-                    cos[i], best[i], rejected[i] = c[at], c[at].argmax(), False
+                k = int(c[at].argmax())
+                if c[at, k] >= enough[at, k]:
+                    cos[i], best[i], rejected[i] = c[at], k, False
     return np.where(rejected, -1, best), cos
 
 
@@ -172,7 +205,7 @@ def _lines(model: Centroids, min_words: int):
                             label[i] = -1
             e = np.exp((cos - cos.max(1, keepdims=True)) / SHARPNESS) if len(lines) else cos
             sure = e[np.arange(len(lines)), np.maximum(label, 0)] / e.sum(1) if len(lines) else np.empty(0)
-            names = pa.DictionaryArray.from_arrays(pa.array(label, mask=label < 0), pa.array(LANGUAGES)).cast(pa.string())
+            names = pa.DictionaryArray.from_arrays(pa.array(label, mask=label < 0), pa.array(model.languages)).cast(pa.string())
             offsets = pa.array(ends, pa.int32())
             wrap = lambda v: pa.ListArray.from_arrays(offsets, v)
             yield pa.RecordBatch.from_arrays(
@@ -220,7 +253,7 @@ def _every_line(model: Centroids):
             weight = words / MIN_WORDS
             label = np.full(len(lines), -1)
             for a, b, fixed in zip(ends[:-1], ends[1:], known):
-                own = np.array([LANGUAGES.index(g) if (g := fixed.get(n)) else -1 for n in numbers[a:b]], dtype=np.int64)
+                own = np.array([model.languages.index(g) if (g := fixed.get(n)) else -1 for n in numbers[a:b]], dtype=np.int64)
                 # a long line in no known language stays without one, as do lines without letters
                 free = (own < 0) & (cos[a:b].max(1, initial=-1) > 0) & ((words[a:b] < MIN_WORDS) | (alone[a:b] >= 0))
                 use = np.flatnonzero((own >= 0) | free)
@@ -228,7 +261,7 @@ def _every_line(model: Centroids):
                     label[a + use] = settled(own[use], cos[a + use], weight[a + use])
             e = np.exp((cos - cos.max(1, keepdims=True)) * weight[:, None] / SHARPNESS) if len(lines) else cos
             sure = e[np.arange(len(lines)), np.maximum(label, 0)] / e.sum(1) if len(lines) else np.empty(0)
-            names = pa.DictionaryArray.from_arrays(pa.array(label, mask=label < 0), pa.array(LANGUAGES)).cast(pa.string())
+            names = pa.DictionaryArray.from_arrays(pa.array(label, mask=label < 0), pa.array(model.languages)).cast(pa.string())
             offsets = pa.array(ends, pa.int32())
             wrap = lambda v: pa.ListArray.from_arrays(offsets, v)
             chars = pa.array([len(x) for x in lines], pa.int32())
@@ -240,43 +273,39 @@ def _every_line(model: Centroids):
     return run
 
 
-def label_language(lang: Column) -> Column:
+def label_language(lang: Column, languages: tuple[str, ...] = LANGUAGES) -> Column:
     """The language a label names, alone or with a region; null for any other label."""
-    return F.nullif(F.regexp_extract(F.lower(lang), f"^({'|'.join(LANGUAGES)})(?:[-_][a-z0-9]+)?$", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(F.lower(lang), f"^({'|'.join(languages)})(?:[-_][a-z0-9]+)?$", 1), F.lit(""))
 
 
-def train(df: DataFrame, key: str, text: str, lang: str, docs: int = TRAIN_DOCS, min_words: int = MIN_WORDS) -> Centroids:
-    """Centroids from at most ``docs`` labelled documents of df."""
-    named = df.select(F.col(key).alias("id"), label_language(F.col(lang)).alias("lang")).where("lang is not null and id is not null")
+def train(df: DataFrame, key: str, text: str, lang: str, docs: int = TRAIN_DOCS, most_lines: int = TRAIN_LINES, min_words: int = MIN_WORDS, languages: tuple[str, ...] = LANGUAGES) -> Centroids:
+    """Centroids from at most ``most_lines`` lines of at most ``docs`` labelled documents of df."""
+    named = df.select(F.col(key).alias("id"), label_language(F.col(lang), languages).alias("lang")).where("lang is not null and id is not null")
     chosen = named.orderBy(F.xxhash64("id", F.lit(42)), "id").limit(docs)
-    rows = df.select(F.col(key).alias("id"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(chosen), "id").orderBy("id", "text").collect()
-    lines, labels = [], []
-    for r in rows:
-        for line in r["text"].split("\n"):
-            if len(line.split(None, min_words)) >= min_words and len(line) <= 20_000:
-                lines.append(line)
-                labels.append(LANGUAGES.index(r["lang"]))
-    step = max(1, math.ceil(len(lines) / TRAIN_LINES))
-    return fit(lines[::step], labels[::step])
+    texts = df.select(F.col(key).alias("id"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(chosen), "id")
+    lines = texts.select("id", "lang", F.posexplode(F.split("text", "\n", -1)).alias("p", "line")).where(F.size(F.split(F.trim("line"), r"(?U)\s+")) >= min_words)
+    rows = lines.orderBy(F.xxhash64("id", "p"), "id", "p").limit(most_lines).select("line", "lang").collect()
+    rows = [r for r in rows if len(r["line"].split(None, min_words)) >= min_words]
+    return fit([r["line"] for r in rows], [languages.index(r["lang"]) for r in rows], languages=languages)
 
 
 def line_languages(df: DataFrame, key: str, text: str, model: Centroids, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, line_no[], langs[], sure[], chars[]) of each text's lines of at least min_words words; lang null where rejected."""
     rows = df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_lines(model, min_words), "doc_id bigint, line_no array<int>, langs array<string>, sure array<double>, chars array<int>")
+    return arrow_map(rows, _lines(model, min_words), "doc_id bigint, line_no array<int>, langs array<string>, sure array<double>, chars array<int>")
 
 
 def every_line_language(df: DataFrame, key: str, text: str, model: Centroids) -> DataFrame:
     """As line_languages, of all lines that are not blank; lang null for lines without letters and long ones in no known language."""
     rows = df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_every_line(model), "doc_id bigint, line_no array<int>, langs array<string>, sure array<double>, chars array<int>")
+    return arrow_map(rows, _every_line(model), "doc_id bigint, line_no array<int>, langs array<string>, sure array<double>, chars array<int>")
 
 
-def document_languages(lines: DataFrame) -> DataFrame:
+def document_languages(lines: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
     """(doc_id, lang, confidence) of every text with a line: the language of most characters and its sure part of them; null and 0 without one."""
     items = F.arrays_zip("langs", "sure", "chars")
     part = lambda g: F.aggregate(F.filter(items, lambda x: x["langs"] == g), F.lit(0.0), lambda acc, x: acc + x["sure"] * x["chars"])
-    best = F.array_max(F.array(*[F.struct(part(g).alias("s"), F.lit(-k).alias("k"), F.lit(g).alias("lang")) for k, g in enumerate(LANGUAGES)]))
+    best = F.array_max(F.array(*[F.struct(part(g).alias("s"), F.lit(-k).alias("k"), F.lit(g).alias("lang")) for k, g in enumerate(languages)]))
     total = F.aggregate("chars", F.lit(0.0), lambda acc, x: acc + x)
     rows = lines.where(F.size("chars") > 0).select("doc_id", best.alias("b"), total.alias("t"))
     return rows.select("doc_id", F.when(F.col("b.s") > 0, F.col("b.lang")).alias("lang"), F.round(F.col("b.s") / F.col("t"), 6).alias("confidence"))
@@ -288,7 +317,7 @@ def wrong_labels(df: DataFrame, key: str, text: str, lang: str, model: Centroids
     Null and empty texts, and texts without a long enough line in a known
     language, give no rows; other columns of df are not read.
     """
-    rows = df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), label_language(F.col(lang)).alias("given"))
+    rows = df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), label_language(F.col(lang), model.languages).alias("given"))
     return _with_given(rows, model).where((F.size("own") > 1) | F.col("given").isNull() | (F.col("given") != F.get("own", F.lit(0)))).select("doc_id", F.explode("own").alias("lang"))
 
 
@@ -300,7 +329,7 @@ def _with_given(rows: DataFrame, model: Centroids) -> DataFrame:
             for out in run(iter([batch])):
                 yield pa.RecordBatch.from_arrays([*out.columns, batch.column(2)], [*out.schema.names, "given"])
 
-    out = rows.mapInArrow(keep, "doc_id bigint, line_no array<int>, langs array<string>, sure array<double>, chars array<int>, given string")
+    out = arrow_map(rows, keep, "doc_id bigint, line_no array<int>, langs array<string>, sure array<double>, chars array<int>, given string")
     return out.withColumn("own", F.array_distinct(F.array_compact("langs")))
 
 

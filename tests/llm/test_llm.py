@@ -2,6 +2,7 @@
 
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -349,6 +350,58 @@ def test_held_out_lines(model):
     assert np.mean(label == np.array([k for _, k in held])) >= 0.99
 
 
+# sentences of languages that no centroid was fitted on
+STRANGERS = [
+    "De gemeenteraad heeft gisteren besloten dat de nieuwe brug over de rivier pas volgend jaar voor het verkeer wordt geopend",
+    "Kommunen beslutade i går att den nya bron över floden inte ska öppnas för trafik förrän nästa år enligt ordföranden",
+    "Rada miasta zdecydowała wczoraj że nowy most przez rzekę zostanie otwarty dla ruchu dopiero w przyszłym roku jak podał rzecznik",
+    "Kaupunginvaltuusto päätti eilen että uusi silta joen yli avataan liikenteelle vasta ensi vuonna kertoi kaupungin tiedottaja tänään lehdelle illalla",
+    "Міська рада вчора вирішила що новий міст через річку буде відкрито для руху лише наступного року повідомив речник мерії",
+    "Consiliul local a decis ieri că noul pod peste râu va fi deschis circulației abia anul viitor a anunțat purtătorul de cuvânt",
+    "Το δημοτικό συμβούλιο αποφάσισε χθες ότι η νέα γέφυρα πάνω από τον ποταμό θα ανοίξει για την κυκλοφορία του χρόνου",
+    "市 議会 は 昨日 川 に かかる 新しい 橋 が 来年 まで 開通 しない こと を 決定 しました と 発表",
+    "Belediye meclisi dün nehrin üzerindeki yeni köprünün ancak gelecek yıl trafiğe açılmasına karar verdi diye sözcü bugün gazetecilere açıkladı",
+]
+OWN = {
+    "de": "Der Stadtrat hat gestern beschlossen, dass die neue Brücke über den Fluss erst im nächsten Jahr für den Verkehr geöffnet wird",
+    "it": "Il consiglio comunale ha deciso ieri che il nuovo ponte sul fiume sarà aperto al traffico soltanto il prossimo anno, ha detto il sindaco",
+    "ru": "Городской совет вчера решил, что новый мост через реку откроют для движения только в следующем году, сообщил представитель мэрии",
+}
+
+
+def test_texts_of_other_documents_and_other_languages(spark):
+    """Fitted on the tables' labels: right on documents that were not trained on and on sentences of no document, nothing for other languages."""
+    path = "/root/testdata/sf0.1/documents.parquet"
+    if not Path(path).exists():
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(path).select("doc_id", "text", "lang")
+    m = langid.train(docs.where("doc_id % 2 = 0"), "doc_id", "text", "lang")
+    rows = docs.where("doc_id % 2 = 1 and text is not null").limit(3000).select("text", langid.label_language(docs["lang"]).alias("g")).where("g is not null").collect()
+    lines = [(x, r["g"]) for r in rows for x in r["text"].split("\n") if len(x.split()) >= 12]
+    label, _ = langid.classify(m, [x for x, _ in lines])
+    same = sum(langid.LANGUAGES[k] == g for k, (_, g) in zip(label.tolist(), lines) if k >= 0)
+    # some labels are wrong and some lines in another language by design
+    assert len(lines) > 3000 and same > 0.9 * (label >= 0).sum() and (label >= 0).mean() > 0.95
+    assert (langid.classify(m, STRANGERS)[0] == -1).all()
+    assert [langid.LANGUAGES[k] for k in langid.classify(m, list(OWN.values()))[0]] == list(OWN)
+
+
+def test_languages_are_a_parameter(spark):
+    """Other languages and scripts, taken from labels."""
+    r, languages = random.Random(3), ("ja", "el", "nl")
+    source = {"ja": STRANGERS[7], "el": STRANGERS[6], "nl": STRANGERS[0]}
+
+    def shuffled(g):
+        w = source[g].split()
+        r.shuffle(w)
+        return " ".join(w)
+
+    df = spark.createDataFrame([(i, shuffled(languages[i % 3]), languages[i % 3] if i < 120 else None) for i in range(150)], "doc_id bigint, text string, lang string")
+    m = langid.train(df, "doc_id", "text", "lang", languages=languages)
+    got = {x["doc_id"]: x["lang"] for x in langid.wrong_labels(df, "doc_id", "text", "lang", m).collect()}
+    assert got == {i: languages[i % 3] for i in range(120, 150)}
+
+
 def test_codes_are_no_language(model):
     r = random.Random(4)
     codes = [" ".join("".join(r.choices("0123456789#%&/xqzw", k=7)) for _ in range(14)) for _ in range(20)]
