@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import ast
 import html
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # fixed values: root codes of the event taxonomy and their labels
 EVENT_ROOTS = {
@@ -152,10 +153,18 @@ def json_span(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, r"(?s)(\{.*\})", 1), F.lit(""))
 
 
-def literal_list(c: Column) -> Column:
-    """A list written as a Python literal of strings, as array<string>; null when it is none."""
-    json = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"(?<=[\[,\s])'|'(?=[\],])", '"'), r"\\'", "'"), "^$", "null")
-    return F.from_json(json, "array<string>")
+def _literals(x: object) -> list[str] | None:
+    try:
+        value = ast.literal_eval(x) if isinstance(x, str) else None
+    except (ValueError, SyntaxError, MemoryError, RecursionError):
+        return None
+    return [str(v) for v in value] if isinstance(value, (list, tuple)) else None
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def literal_list(s: pd.Series) -> pd.Series:
+    """A list written as a Python literal, as array<string>, whatever quotes it uses; null when it is none. No built-in reads it."""
+    return s.map(_literals)
 
 
 def truth(c: Column) -> Column:
@@ -174,3 +183,8 @@ def html_text(s: pd.Series) -> pd.Series:
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility composition; no built-in does it."""
     return s.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+
+def payload(*columns: Column, chunk: Column, number: Column, preview: int = 200) -> Column:
+    """Metadata of a record joined with its chunk: what is stored beside a vector."""
+    return F.struct(*columns, F.substring(chunk, 1, preview).alias("original_text_preview"), chunk.alias("chunk_text"), number.alias("chunk_number"))

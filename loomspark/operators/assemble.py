@@ -19,6 +19,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import arrow_map
 
 
+_BASE, _PRIME = 1_000_003, (1 << 61) - 1
+
+
 @dataclass(frozen=True)
 class Assembly:
     """Variants of the joining. window: a fragment is appended only if its position is at least that of the first less so
@@ -63,20 +66,21 @@ def join_fragments(texts: list[str], positions: list[int], how: Assembly = CANON
     whole, start = units[0], positions[0]
     open_ = {i for i in range(1, len(units)) if units[i] and not (how.once_per_position and positions[i] == start)}
     longest = min(how.longest_overlap or 1 << 60, max((len(units[i]) for i in open_), default=0))
-    key = tuple if how.by_word else str
-    starts, ends = defaultdict(list), defaultdict(list)  # every start and end of a fragment up to that length
+    starts, ends = defaultdict(list), defaultdict(list)  # hashes of every start and end of a fragment up to that length
     for i in sorted(open_):
-        u, near = units[i], (how.window is None or positions[i] + how.window >= start, how.window is None or positions[i] - how.window <= start)
-        for k in range(1, min(longest, len(u)) + 1):
-            if near[0]:
-                starts[key(u[:k])].append(i)
-            if near[1]:
-                ends[key(u[len(u) - k :])].append(i)
+        u = units[i]
+        if how.window is None or positions[i] + how.window >= start:
+            for at in enumerate(_start_hashes(u, longest), 1):
+                starts[at].append(i)
+        if how.window is None or positions[i] - how.window <= start:
+            for at in enumerate(_end_hashes(u, longest), 1):
+                ends[at].append(i)
     while open_:
         pick = None
-        for k in range(min(longest, len(whole)), 0, -1):
-            a = next((i for i in starts.get(key(whole[len(whole) - k :]), ()) if i in open_), None)
-            b = next((i for i in ends.get(key(whole[:k]), ()) if i in open_), None)
+        behind_at, before_at = _end_hashes(whole, longest), _start_hashes(whole, longest)
+        for k in range(len(behind_at), 0, -1):
+            a = next((i for i in starts.get((k, behind_at[k - 1]), ()) if i in open_ and units[i][:k] == whole[len(whole) - k :]), None)
+            b = next((i for i in ends.get((k, before_at[k - 1]), ()) if i in open_ and units[i][len(units[i]) - k :] == whole[:k]), None)
             if a is not None or b is not None:
                 behind = b is None or (a is not None and a <= b)
                 pick = a if behind else b
@@ -88,7 +92,26 @@ def join_fragments(texts: list[str], positions: list[int], how: Assembly = CANON
     return glue(whole)
 
 
-def borders(s: str) -> list[int]:
+def _start_hashes(units: list[str] | str, most: int) -> list[int]:
+    """Hashes of the first 1, 2, ... units, ``most`` at most."""
+    out, h = [], 0
+    for u in units[:most]:
+        h = (h * _BASE + hash(u)) % _PRIME
+        out.append(h)
+    return out
+
+
+def _end_hashes(units: list[str] | str, most: int) -> list[int]:
+    """Hashes of the last 1, 2, ... units: equal units have the hash they have as a start."""
+    out, h, power = [], 0, 1
+    for u in units[: -most - 1 : -1]:
+        h = (h + hash(u) * power) % _PRIME
+        power = power * _BASE % _PRIME
+        out.append(h)
+    return out
+
+
+def borders(s: str | list[str]) -> list[int]:
     """Lengths of all prefixes of s that are also suffixes, longest first, by the prefix function in O(n)."""
     fail, k = [0] * len(s), 0
     for i in range(1, len(s)):
@@ -105,20 +128,27 @@ def borders(s: str) -> list[int]:
 
 def drop_self_overlap(s: str, how: str = "half") -> str:
     """The text without the start that it repeats at its end."""
-    if how == "words":
-        w = s.split()
-        n, half = len(w), len(w) // 2
-        if len(s) < 50 or n < 10:
-            return s
-        if half > 10 and w[:half] == w[n - half :]:
-            return " ".join(w[half:])
-        return next((" ".join(w[k:]) for k in range(min(15, n // 3), 4, -1) if w[:k] == w[n - k :]), s)
+    if how == "words":  # limits of the variant: half the text over ten words, else five to fifteen of at most a third
+        parts = s.split()
+        repeats = borders(parts) if len(s) >= 50 and len(parts) >= 10 else []
+        half = len(parts) // 2
+        cut = half if half > 10 and half in repeats else next((k for k in repeats if 5 <= k <= min(15, len(parts) // 3)), 0)
+        return " ".join(parts[cut:]) if cut else s
     least = 1 if how == "half" else 6
     if len(s) < (2 if how == "half" else 50):
         return s
     return s[next((k for k in borders(s) if least <= k <= len(s) // 2), 0) :]
 
 
+def ngrams(df: DataFrame, key: str, words: Column, around: int = 1, step: int = 1) -> DataFrame:
+    """(key, pos, pre, ngram, post): each step-th word with ``around`` words before and after it, as n-gram files give it."""
+    rows = df.select(key, words.alias("_w")).where(F.size("_w") > 0)
+    at = F.sequence(F.lit(0), F.size("_w") - 1, F.lit(step))
+    part = lambda a, n: F.array_join(F.slice("_w", a, n), " ")
+    cut = F.transform(at, lambda i: F.struct(i.alias("pos"), part(F.greatest(i + 1 - around, F.lit(1)), F.least(i, F.lit(around))).alias("pre"), F.get("_w", i).alias("ngram"), part(i + 2, F.lit(around)).alias("post")))
+    return rows.select(key, F.explode(cut).alias("c")).select(key, "c.*")
+
+
 def finish(s: str) -> str:
     return re.sub(r"\s+", " ", s.replace("|", " ").replace('"', " ").strip())
 

@@ -6,22 +6,32 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.fields import html_text, nfkc
 from .dedup import collapse_lines
 
 
 @dataclass(frozen=True)
 class SiteRules:
-    """patterns: removed in order, each with its inline flags; one_pass: as one alternation; collapse: equal neighbouring lines become one."""
+    """patterns: removed in order, or replaced where given as (pattern, replacement), each with its inline flags; one_pass: the
+    removed ones as one alternation; collapse: equal neighbouring lines become one; entities, nfkc: character references decoded
+    and characters composed before."""
 
-    patterns: tuple[str, ...]
+    patterns: tuple[str | tuple[str, str], ...]
     one_pass: bool = False
     collapse: bool = False
+    entities: bool = False
+    nfkc: bool = False
 
 
 def cleaned(text: Column, rules: SiteRules) -> Column:
-    out = text
-    for p in ("|".join(f"(?:{p})" for p in rules.patterns),) if rules.one_pass and rules.patterns else rules.patterns:
-        out = F.regexp_replace(out, p, "")
+    out = html_text(text) if rules.entities else text
+    out = nfkc(out) if rules.nfkc else out
+    steps = [p if isinstance(p, tuple) else (p, "") for p in rules.patterns]
+    if rules.one_pass:
+        removed = [p for p, to in steps if not to]
+        steps = [("|".join(f"(?:{p})" for p in removed), "")] * bool(removed) + [s for s in steps if s[1]]
+    for p, to in steps:
+        out = F.regexp_replace(out, p, to)
     if rules.collapse:
         out = collapse_lines(out)
     return F.trim(F.regexp_replace(out, r"(?U)\s+", " "))

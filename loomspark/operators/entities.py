@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import math
+import pickle
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
+from ..session import arrow_map
+
 
 def ratio(a: str, b: str) -> float:
     """Indel similarity in percent: 200 * LCS / (len a + len b), by a bit-parallel LCS."""
@@ -35,8 +40,9 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 def fuzzy_link(names: DataFrame, name: str, known: DataFrame, known_name: str, known_id: str, least: float = 85.0, shortest: int = 4) -> DataFrame:
     """(name, id, matched, score): exact lower-case hit, else the most similar known name of at least ``least``; ties to the first name.
 
-    Candidates share enough two-letter pieces for the bound and fit in length,
-    so nothing is compared with everything; names under ``shortest`` characters
+    Candidates share one of the name's rarest two-letter pieces, as many as the
+    bound needs, fit in length and share enough pieces in all before they are
+    compared; names under ``shortest`` characters
     only match exactly.
     """
     n = names.select(F.lower(name).alias("name")).where("name is not null").distinct()
@@ -44,37 +50,56 @@ def fuzzy_link(names: DataFrame, name: str, known: DataFrame, known_name: str, k
     exact = n.join(k, F.col("name") == F.col("matched")).select("name", "id", "matched", F.lit(100.0).alias("score"))
     rest = n.join(k, F.col("name") == F.col("matched"), "left_anti").where(F.length("name") >= shortest)
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substr(F.col(c), i, F.lit(2))))
-    a = rest.select("name", F.explode(grams("name")).alias("g"))
-    b = k.select("matched", "id", F.explode(grams("matched")).alias("g"))
+    b = k.select("matched", "id", grams("matched").alias("gb")).select("matched", "id", "gb", F.explode("gb").alias("g"))
+    often = b.groupBy("g").agg(F.count("*").alias("df"))  # two-letter pieces: a small table
+    own = rest.select("name", grams("name").alias("ga"))
+    pieces = own.select("name", "ga", F.explode("ga").alias("g")).join(often, "g").groupBy("name").agg(F.first("ga").alias("ga"), F.sort_array(F.collect_list(F.struct("df", "g"))).alias("l"))
     la, lb = F.length("name"), F.length("matched")
-    # edits allowed by the bound; each costs the name two pieces at most
-    edits = F.floor((1 - least / 100.0) * (la + lb))
+    # edits allowed by the bound; each costs the name two pieces at most, so one of its rarest pieces is in any match
+    edits = lambda longest: F.floor((1 - least / 100.0) * longest)
+    needed = 2 * edits(la * (1 + (200.0 - least) / least)) + 1 - (F.size("ga") - F.size("l"))
+    a = pieces.where(needed > 0).select("name", "ga", F.explode(F.slice("l", F.lit(1), F.least(needed, F.size("l")).cast("int"))["g"]).alias("g"))
     near = 200.0 * F.least(la, lb) / (la + lb) >= least
-    pairs = a.join(b, "g").where(near).groupBy("name", "matched", "id").agg(F.count("*").alias("shared"), F.first(F.size(grams("name"))).alias("own"))
-    pairs = pairs.where(F.col("shared") >= F.greatest(F.lit(1), F.col("own") - 2 * edits)).withColumn("score", F.round(similarity("name", "matched"), 6)).where(F.col("score") >= least)
+    shared = F.size(F.array_intersect("ga", "gb")) >= F.greatest(F.lit(1), F.size("ga") - 2 * edits(la + lb))
+    pairs = a.join(b, "g").where(near & shared).select("name", "matched", "id").distinct()
+    pairs = pairs.withColumn("score", F.round(similarity("name", "matched"), 6)).where(F.col("score") >= least)
     best = pairs.groupBy("name").agg(F.min_by(F.struct("id", "matched", "score"), F.struct((-F.col("score")).alias("s"), "matched")).alias("b"))
     return exact.unionByName(best.select("name", "b.id", "b.matched", "b.score"))
 
 
-def dictionary_matches(df: DataFrame, key: str, text: str, names: DataFrame, name: str, block: int = 200_000) -> DataFrame:
+_MACHINES: dict[str, object] = {}  # of this worker
+
+
+def _machine(name: str, shared: Broadcast):
+    if name not in _MACHINES:
+        if len(_MACHINES) > 1:
+            _MACHINES.clear()
+        _MACHINES[name] = pickle.loads(shared.value)
+    return _MACHINES[name]
+
+
+def dictionary_matches(df: DataFrame, key: str, text: str, names: DataFrame, name: str, most_chars: int = 8_000_000) -> DataFrame:
     """(key, name, at): every dictionary name inside each text, case-sensitive and without word borders; at counts from 1, first place.
 
-    The dictionary is counted first and goes out in blocks of at most ``block``
-    names, each an automaton that reads every text once.
+    The automaton is built once, on the driver, and loaded once per worker. The
+    dictionary's characters are counted first; one of more than ``most_chars``
+    goes out in parts, each an automaton that reads every text once.
     """
+    import ahocorasick
+
     distinct = names.select(F.col(name).alias("n")).where("n is not null and n <> ''").distinct()
-    parts = max(1, math.ceil(distinct.count() / block))
+    parts = max(1, math.ceil((distinct.agg(F.sum(F.length("n"))).first()[0] or 0) / most_chars))
     kind, out = dict(df.dtypes)[key], None
     for p in range(parts):
-        words = [r["n"] for r in distinct.where(F.pmod(F.xxhash64("n"), F.lit(parts)) == p).toLocalIterator()]
-
-        def run(batches: Iterator[pa.RecordBatch], words: list[str] = words) -> Iterator[pa.RecordBatch]:
-            import ahocorasick
-
-            machine = ahocorasick.Automaton()
-            for w in words:
-                machine.add_word(w, w)
-            machine.make_automaton()
+        machine, words = ahocorasick.Automaton(), 0
+        for r in distinct.where(F.pmod(F.xxhash64("n"), F.lit(parts)) == p).toLocalIterator():
+            machine.add_word(r["n"], r["n"])
+            words += 1
+        machine.make_automaton()
+        shared, called = df.sparkSession.sparkContext.broadcast(pickle.dumps(machine)), uuid.uuid4().hex
+
+        def run(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared, called: str = called, words: int = words) -> Iterator[pa.RecordBatch]:
+            machine = _machine(called, shared)
             for b in batches:
                 rows = []
                 for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -85,7 +110,7 @@ def dictionary_matches(df: DataFrame, key: str, text: str, names: DataFrame, nam
                 ks, ws, ats = zip(*rows) if rows else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(ks, b.column(0).type), pa.array(ws, pa.string()), pa.array(ats, pa.int32())], [key, "name", "at"])
 
-        found = df.select(key, text).mapInArrow(run, f"{key} {kind}, name string, at int")
+        found = arrow_map(df.select(key, text), run, f"{key} {kind}, name string, at int")
         out = found if out is None else out.unionByName(found)
     return out
 

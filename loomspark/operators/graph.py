@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -81,15 +82,19 @@ def valid_triples(triples: DataFrame, relations: list[str]) -> DataFrame:
 def super_edges(relations: DataFrame, keep: int = 20) -> DataFrame:
     """(source_id, target_id, relation, max_score, weight, chunk_ids): best distinct chunks by score, then id.
 
-    Chunks are made distinct and ranked before anything is collected, so that
-    no group holds more than ``keep`` of them.
+    Weight and maximum are combinable sums of the distinct chunks; the ranked
+    branch is cut to ``keep`` rows a group before it is moved, so that no task
+    holds or sorts all chunks of a hot edge.
     """
     group = ["source_id", "target_id", "relation"]
     per_chunk = relations.groupBy(*group, "chunk_id").agg(F.max("score").alias("score"), F.count("chunk_id").alias("n"))
-    ranked = per_chunk.withColumn("r", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("score"), "chunk_id")))
-    kept = F.collect_list(F.when((F.col("r") <= keep) & F.col("chunk_id").isNotNull(), F.struct("r", "chunk_id")))
-    out = ranked.groupBy(*group).agg(F.max("score").alias("max_score"), F.sum("n").alias("weight"), kept.alias("l"))
-    return out.select(*group, "max_score", "weight", F.array_join(F.transform(F.array_sort("l"), lambda x: x["chunk_id"]), "|").alias("chunk_ids"))
+    whole = per_chunk.groupBy(*group).agg(F.max("score").alias("max_score"), F.sum("n").alias("weight"))
+    w = Window.partitionBy(*group).orderBy(F.desc("score"), "chunk_id")
+    best = per_chunk.where("chunk_id is not null").withColumn("r", F.row_number().over(w)).where(F.col("r") <= keep)
+    best = best.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("r", "chunk_id"))).alias("l"))
+    same = [F.col(f"w.{c}").eqNullSafe(F.col(f"b.{c}")) for c in group]
+    out = whole.alias("w").join(best.alias("b"), reduce(lambda x, y: x & y, same), "left")
+    return out.select(*[F.col(f"w.{c}").alias(c) for c in group], "max_score", "weight", F.coalesce(F.array_join(F.transform("l", lambda x: x["chunk_id"]), "|"), F.lit("")).alias("chunk_ids"))
 
 
 def attached(edge_rows: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
@@ -99,11 +104,59 @@ def attached(edge_rows: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     return out.join(ids, out["dst"] == F.col("_n"), "left_semi")
 
 
-def one_hop(edge_rows: DataFrame, nodes: DataFrame, key: str, where_source: Column, where_target: Column, limit: int = 50) -> DataFrame:
-    """Neighbours (source, type, target) of the matching nodes, at most ``limit`` in order of names."""
-    s = nodes.where(where_source).select(F.col(key).alias("src"), F.col("name").alias("source"))
-    t = nodes.where(where_target).select(F.col(key).alias("dst"), F.col("name").alias("target"))
-    return edge_rows.join(s, "src").join(t, "dst").select("source", "type", "target").orderBy("source", "type", "target").limit(limit)
+def one_hop(edge_rows: DataFrame, nodes: DataFrame, key: str, where_source: Column, where_target: Column, limit: int = 50, types: list[str] | None = None, banned: list[str] | None = None) -> DataFrame:
+    """Neighbours (source, type, target) of the matching nodes, at most ``limit`` in order of names.
+
+    Only edges of ``types``, if given; no node whose lower-cased name is banned.
+    """
+    allowed = ~F.lower("name").isin(banned) if banned else F.lit(True)
+    s = nodes.where(where_source & allowed).select(F.col(key).alias("src"), F.col("name").alias("source"))
+    t = nodes.where(where_target & allowed).select(F.col(key).alias("dst"), F.col("name").alias("target"))
+    rows = edge_rows.where(F.col("type").isin(types)) if types else edge_rows
+    return rows.join(s, "src").join(t, "dst").select("source", "type", "target").orderBy("source", "type", "target").limit(limit)
+
+
+def article_mentions(articles: DataFrame, key: str, names: dict[str, Column], known: DataFrame) -> DataFrame:
+    """Edges article -> entity (MENTIONS) through the entity map known(dirty_name, id): distinct names of the packed fields."""
+    parts = [articles.select(F.col(key).alias("k"), F.explode(c).alias("n")).select("k", entity_name(F.col("n")).alias("n")) for c in names.values()]
+    found = reduce(DataFrame.unionByName, parts).where("n is not null and k is not null").distinct()
+    return edges(found.join(known.select(F.col("dirty_name").alias("n"), "id"), "n"), F.col("k"), F.col("id"), "MENTIONS")
+
+
+def entity_nodes(links: DataFrame) -> DataFrame:
+    """(id, name, type) once per id: of the first of its dirty names."""
+    return links.groupBy("id").agg(F.min_by(F.struct("name", "type"), "dirty_name").alias("p")).select("id", "p.name", "p.type")
+
+
+def run_statements(statements: list[DataFrame]) -> DataFrame:
+    """Rows of several pattern queries in one table: (statement from 0, row as JSON, chunk_ids); ids from an array or a '|' text."""
+    parts = []
+    for i, d in enumerate(statements):
+        kind = dict(d.dtypes).get("chunk_ids")
+        ids = F.col("chunk_ids") if kind == "array<string>" else F.split("chunk_ids", r"\|") if kind else F.array().cast("array<string>")
+        shown = [F.col(c) for c in d.columns if c != "chunk_ids"]
+        parts.append(d.select(F.lit(i).alias("statement"), F.to_json(F.struct(*shown)).alias("row"), F.filter(ids, lambda x: x != "").alias("chunk_ids")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def graph_tool(statements: list[DataFrame], chunks: DataFrame, chunk: str) -> tuple[DataFrame, DataFrame]:
+    """(the rows of all statements, the texts of the chunks they name, once each)."""
+    rows = run_statements(statements)
+    wanted = rows.select(F.explode("chunk_ids").alias(chunk)).distinct()
+    return rows, chunks.join(wanted, chunk, "left_semi")
+
+
+def scored_relations(pairs: DataFrame, chunk: str, text: str, scorer: Callable[[Column, Column, Column], dict[str, Column]], thresholds: dict[str, float], default: float = 0.6) -> DataFrame:
+    """(chunk, subject, relation, object, score) of pairs(chunk, subject, object, text): the likeliest relation of each, from its own threshold on.
+
+    The scorer gives a column per relation for subject, object and text; a
+    relation's threshold is its entry or the default. Ties go to the earlier name.
+    """
+    scores = scorer(F.col("subject"), F.col("object"), F.col(text))
+    best = F.array_max(F.array(*[F.struct(s.cast("double").alias("score"), F.lit(-i).alias("i"), F.lit(r).alias("relation")) for i, (r, s) in enumerate(sorted(scores.items()))]))
+    out = pairs.select(chunk, "subject", "object", best.alias("b")).select(chunk, "subject", F.col("b.relation").alias("relation"), "object", F.col("b.score").alias("score"))
+    least = F.coalesce(*[F.when(F.col("relation") == r, F.lit(t)) for r, t in thresholds.items()], F.lit(default))
+    return out.where(F.col("score") >= least)
 
 
 def bridge(rows: DataFrame, ids: str, chunks: DataFrame, chunk: str) -> DataFrame:

@@ -9,7 +9,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.fields import sigmoid
 from ..session import arrow_map, materialize
@@ -73,8 +73,9 @@ def adaptive_cut(df: DataFrame, group: str, rank: str, score: str, limit: int =
     rows (a limit below 4 still shows up to 4, as in the pipeline this follows).
     """
     w = Window.partitionBy(group).orderBy(rank)
-    p = df.withColumn("p", sigmoid(F.col(score))).withColumn("drop", F.lag("p").over(w) - F.col("p")).withColumn("place", F.row_number().over(w))
-    stop = (F.col("p") < 0.25) | F.when(F.col("place").isin(2, 3), F.col("drop") > 0.45).when(F.col("place") >= 4, (F.col("drop") > 0.20) | (F.col("place") > max(limit, 4))).otherwise(False)
+    first = df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= max(limit, 4))  # no more can be left
+    p = first.withColumn("p", sigmoid(F.col(score))).withColumn("drop", F.lag("p").over(w) - F.col("p"))
+    stop = (F.col("p") < 0.25) | F.when(F.col("place").isin(2, 3), F.col("drop") > 0.45).when(F.col("place") >= 4, F.col("drop") > 0.20).otherwise(False)
     cut = p.withColumn("stopped", F.max(stop.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return cut.where("stopped = 0").select(*df.columns, F.round("p", 6).alias("p"))
 
@@ -90,6 +91,34 @@ def text_index(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame
     return postings, t.select(key, F.size("t").alias("dl"))
 
 
+def save_text_index(df: DataFrame, key: str, text: str, path: str, buckets: int = 64) -> None:
+    """The index as tables under path: postings in directories by term hash, with the texts' lengths, and the statistics."""
+    t = df.where(F.col(text).isNotNull()).select(key, tokens(F.col(text)).alias("t")).withColumn("dl", F.size("t"))
+    rows = t.select(key, "dl", F.explode("t").alias("term")).groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    rows.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    t.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/statistics")
+
+
+def search_text_index(spark: SparkSession, path: str, key: str, query: list[str], k: int = 100) -> DataFrame:
+    """(key, score) of the k best texts by BM25, from the postings of the query words alone: other buckets are not read."""
+    words = sorted(set(w.lower() for w in query))
+    stats = spark.read.parquet(f"{path}/statistics").first()
+    places = [r["b"] for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.pmod(F.xxhash64("w"), F.lit(stats["buckets"])).cast("int").alias("b")).collect()]
+    rows = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(places) & F.col("term").isin(words))
+    df = rows.groupBy("term").agg(F.count("*").alias("df"))  # a row per query word
+    idf = F.log(1 + (F.lit(stats["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(stats["avgdl"] or 1.0)))
+    return rows.join(F.broadcast(df), "term").groupBy(key).agg(F.round(F.sum(part), 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
+
+
+def collection(points: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
+    """Points that a vector collection of the dimension takes: with a key and a vector of that size, the first by content per key."""
+    fit = points.where(F.col(key).isNotNull() & (F.size(vector) == dim))
+    others = [c for c in fit.columns if c != key]
+    return fit.groupBy(key).agg(F.min_by(F.struct(*others), F.xxhash64(*others)).alias("_p")).select(key, *[F.col(f"_p.{c}").alias(c) for c in others])
+
+
 def hashing_encoder(dim: int = 64) -> Callable[[list[str | None]], np.ndarray]:
     """A deterministic stand-in for an embedding model: signed hashed words, unit length."""
 

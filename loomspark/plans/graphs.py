@@ -139,14 +139,71 @@ def attached_edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.attached(li, s.unionByName(p), "id").agg(F.count("*").alias("n"))
 
 
-@query("select distinct d.doc_id, length(d.text) as n from documents d join (select unnest(string_split(ids, '|')) as id from (select string_agg(cast(l_orderkey as varchar), '|') as ids from lineitem group by l_suppkey)) e on cast(d.doc_id as varchar) = e.id where d.text is not null")
+@query("select doc_id, length(text) as n from documents where text is not null and (doc_id in (select l_orderkey from lineitem) or doc_id in (select l_partkey from lineitem))")
 def graph_text_bridge(spark: SparkSession, d: str) -> DataFrame:
-    """Texts of the chunk ids that edges carry."""
-    li = table(spark, d, "lineitem", "l_suppkey", "l_orderkey").groupBy("l_suppkey").agg(F.array_join(F.collect_set(F.col("l_orderkey").cast("string")), "|").alias("ids"))
+    """Texts of the chunk ids that edges carry, packed two to an edge."""
+    li = table(spark, d, "lineitem", "l_orderkey", "l_partkey").select(F.concat_ws("|", "l_orderkey", "l_partkey").alias("ids"))
     docs = table(spark, d, "documents", "doc_id", "text").where("text is not null").withColumn("id", F.col("doc_id").cast("string"))
     return graph.bridge(li, "ids", docs, "id").select("doc_id", F.length("text").cast("bigint").alias("n"))
 
 
+@query(f"select k, p.url as url, cast(p.date as varchar) as date from (select {_AK} as k, max_by(struct_pack(url := docidentifier_original, date := strftime(article_date at time zone 'UTC', '%Y-%m-%d')), struct_pack(a := coalesce(epoch_us(dateadded), -1), b := gkgrecordid, c := coalesce(docidentifier_original, ''), d := coalesce(epoch_us(article_date), -1))) as p from gdelt_article where docidentifier_normalized is not null group by 1)")
+def graph_nodes_article(spark: SparkSession, d: str) -> DataFrame:
+    """Article nodes; address and day of the row delivered last."""
+    a = table(spark, d, "gdelt_article", "docidentifier_normalized", "docidentifier_original", "article_date", "dateadded", "gkgrecordid")
+    at = F.struct(F.coalesce(F.unix_micros("dateadded"), F.lit(-1)).alias("a"), F.col("gkgrecordid").alias("b"), F.coalesce("docidentifier_original", F.lit("")).alias("c"), F.coalesce(F.unix_micros("article_date"), F.lit(-1)).alias("d"))
+    return graph.merge_nodes(a.select(normal_key(F.col("docidentifier_normalized")).alias("k"), F.col("docidentifier_original").alias("url"), F.date_format("article_date", "yyyy-MM-dd").alias("date"), at.alias("at")), "k", "at")
+
+
+@query(f"select id, p.name as name, p.type as type from (select id, min_by(struct_pack(name := name, type := type), dirty_name) as p from ({_LINKED}) group by id)")
+def graph_nodes_entity(spark: SparkSession, d: str) -> DataFrame:
+    """Entity nodes, once per id."""
+    return graph.entity_nodes(entity_links(spark, d))
+
+
+@query(f"""select distinct k as src, id as dst, 'MENTIONS' as type from (
+    select {_AK} as k, {_CLEAN.format(c='x')} as n from (select docidentifier_normalized, unnest(string_split(allnames, ';')) as x from gdelt_article where docidentifier_normalized is not null)
+    union select {_AK}, {_CLEAN.format(c='x')} from (select docidentifier_normalized, unnest(string_split(locations, ';')) as x from gdelt_article where docidentifier_normalized is not null)) join ({_LINKED}) on n = dirty_name""")
+def graph_edges_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Article -> entity, through the entity map."""
+    a = table(spark, d, "gdelt_article", "docidentifier_normalized", "allnames", "locations").withColumn("k", normal_key(F.col("docidentifier_normalized")))
+    return graph.article_mentions(a, "k", {"names": F.split("allnames", ";"), "places": F.split("locations", ";")}, entity_links(spark, d))
+
+
+def _tool(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Two patterns of suppliers' edges, one with its chunk ids packed, one with an array."""
+    li = table(spark, d, "lineitem", "l_suppkey", "l_linenumber", "l_returnflag", "l_orderkey", "l_partkey")
+    packed = li.where("l_linenumber = 7 and l_returnflag = 'R'").select(F.col("l_suppkey").alias("source"), F.concat_ws("|", "l_orderkey", "l_partkey").alias("chunk_ids"))
+    arrays = li.where("l_linenumber = 6").select(F.col("l_suppkey").alias("source"), F.col("l_returnflag").alias("via"), F.array(F.col("l_partkey").cast("string")).alias("chunk_ids"))
+    docs = table(spark, d, "documents", "doc_id", "text").where("text is not null").withColumn("id", F.col("doc_id").cast("string"))
+    return graph.graph_tool([packed, arrays], docs, "id")
+
+
+@query("select doc_id, length(text) as n from documents where text is not null and (doc_id in (select unnest([l_orderkey, l_partkey]) from lineitem where l_linenumber = 7 and l_returnflag = 'R') or doc_id in (select l_partkey from lineitem where l_linenumber = 6))")
+def graph_tool(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of the chunks that the rows of several statements name."""
+    return _tool(spark, d)[1].select("doc_id", F.length("text").cast("bigint").alias("n"))
+
+
+@query("""select 0 as statement, '{"source":' || l_suppkey || '}' as row, [cast(l_orderkey as varchar), cast(l_partkey as varchar)] as chunk_ids from lineitem where l_linenumber = 7 and l_returnflag = 'R'
+    union all select 1, '{"source":' || l_suppkey || ',"via":"' || l_returnflag || '"}', [cast(l_partkey as varchar)] from lineitem where l_linenumber = 6""")
+def graph_tool_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of several statements in one table, with the chunk ids of both shapes."""
+    return _tool(spark, d)[0]
+
+
+_PAIR = "select globaleventid, lower(actor1name) as subject, lower(actor2name) as object, round(abs(cast(avgtone as double)) / 10, 6) as tone, round(abs(cast(goldsteinscale as double)) / 10, 6) as scale from gdelt_event where actor1name is not null and actor2name is not null and avgtone is not null and goldsteinscale is not null"
+
+
+@query(f"select globaleventid, subject, case when scale > tone then 'weighs_on' else 'speaks_of' end as relation, object, greatest(scale, tone) as score from ({_PAIR}) where greatest(scale, tone) >= case when scale > tone then 0.7 else 0.3 end")
+def relation_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Likeliest relation of each pair of actors by a scorer, at a threshold of its own."""
+    e = table(spark, d, "gdelt_event", "globaleventid", "actor1name", "actor2name", "avgtone", "goldsteinscale").dropna(subset=["actor1name", "actor2name", "avgtone", "goldsteinscale"])
+    tenth = lambda c: F.round(F.abs(F.col(c).cast("double")) / 10, 6)
+    pairs = e.select("globaleventid", F.lower("actor1name").alias("subject"), F.lower("actor2name").alias("object"), F.struct(tenth("avgtone").alias("tone"), tenth("goldsteinscale").alias("scale")).alias("text"))
+    return graph.scored_relations(pairs, "globaleventid", "text", lambda s, o, t: {"speaks_of": t["tone"], "weighs_on": t["scale"]}, {"speaks_of": 0.3, "weighs_on": 0.7})
+
+
 @query("select doc_id, sha256(concat(cast(doc_id as varchar), '|', '0')) as id from documents")
 def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents", "doc_id").select("doc_id", chunk_id(F.col("doc_id"), F.lit(0)).alias("id"))

@@ -25,11 +25,11 @@ def query(sql: str | None = None):
     return add
 
 
-@query(r"select term, count(*) as df, cast(sum(tf) as bigint) as cf from (select doc_id, term, count(*) as tf from (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) as term from documents where text is not null) group by all) group by term having count(*) >= 3")
+@query(r"select term, count(*) as df, cast(sum(tf) as bigint) as cf from (select doc_id, term, count(*) as tf from (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) as term from documents where text is not null) group by all) group by term")
 def text_index_terms(spark: SparkSession, d: str) -> DataFrame:
-    """Terms of the lexical index in at least three texts."""
+    """All terms of the lexical index."""
     postings, _ = retrieve.text_index(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
-    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where("df >= 3")
+    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 @query(r"select doc_id, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) as dl from documents where text is not null")
@@ -69,19 +69,37 @@ def failure_filter(spark: SparkSession, d: str) -> DataFrame:
     return e.where((a < 0.5) | (b < 0.05)).select("vec_id", (a < 0.05).alias("unfit"), (a < 0.5).alias("poor"))
 
 
-@query("select item_id, list_filter(list_transform(string_split('MATCH (n) WHERE n.id = ' || cast(item_id as varchar) || ' RETURN n; // done; call f()', ';'), lambda x: trim(x)), lambda x: regexp_matches(upper(x), 'MATCH|RETURN|CALL')) as statements from eval_item")
+_OUTER = r"[\t-\r\x{85}\p{Z}]+"
+
+
+@query(rf"select doc_id, list_transform(list_filter(list_transform(string_split(regexp_replace(text, '```[A-Za-z]*', '', 'g'), ';'), lambda x: regexp_replace(x, '^{_OUTER}|{_OUTER}$', '', 'g')), lambda x: regexp_matches(upper(x), 'MATCH|RETURN|CALL')), lambda x: md5(x)) as statements from documents where text is not null")
 def generated_statements(spark: SparkSession, d: str) -> DataFrame:
-    """Statements of a generated answer, fences and remarks dropped."""
-    answer = F.concat(F.lit("```cypher\nMATCH (n) WHERE n.id = "), F.col("item_id").cast("string"), F.lit(" RETURN n; // done; call f()\n```"))
-    return table(spark, d, "eval_item", "item_id").select("item_id", fields.graph_statements(answer).alias("statements"))
+    """Parts of every text that would count as graph statements, as the tool that reads generated text sees them."""
+    t = table(spark, d, "documents", "doc_id", "text").where("text is not null")
+    return t.select("doc_id", F.transform(fields.graph_statements(F.col("text")), lambda x: F.md5(x)).alias("statements"))
 
 
-@query("select item_id, '{\"id\": ' || cast(item_id as varchar) || ', \"in\": {\"c\": 1}}' as body, item_id as parsed from eval_item")
+@query("select event_id, regexp_extract(props, '(\\{.*\\})', 1, 's') as body, cast(json_extract(regexp_extract(props, '(\\{.*\\})', 1, 's'), '$.k') as bigint) as parsed from events")
 def generated_json(spark: SparkSession, d: str) -> DataFrame:
-    """The JSON object inside a generated answer, parsed."""
-    answer = F.concat(F.lit('Sure: {"id": '), F.col("item_id").cast("string"), F.lit(', "in": {"c": 1}} as asked'))
-    t = table(spark, d, "eval_item", "item_id").select("item_id", fields.json_span(answer).alias("body"))
-    return t.select("item_id", "body", F.from_json("body", "id bigint")["id"].alias("parsed"))
+    """The JSON object inside a text field, parsed."""
+    t = table(spark, d, "events", "event_id", "props").select("event_id", fields.json_span(F.col("props")).alias("body"))
+    return t.select("event_id", "body", F.from_json("body", "k bigint")["k"].alias("parsed"))
+
+
+@query("select sha256(concat(cast(doc_id as varchar), '|', '0')) as id, doc_id, url, title, strftime(published_at at time zone 'UTC', '%Y-%m-%d') as date, length(text) as n from documents where text <> ''")
+def text_index_rows(spark: SparkSession, d: str) -> DataFrame:
+    """What the text index stores of each text: under its chunk id, with address, title and day."""
+    t = table(spark, d, "documents", "doc_id", "url", "title", "published_at", "text").where("text <> ''")
+    return t.select(fields.chunk_id(F.col("doc_id"), F.lit(0)).alias("id"), "doc_id", "url", "title", F.date_format("published_at", "yyyy-MM-dd").alias("date"), F.length("text").cast("bigint").alias("n"))
+
+
+@query("select vec_id as id, label, substr(text, 1, 200) as preview, cast(0 as integer) as number from embeddings join documents on vec_id = doc_id where len(embedding) = 64 and text is not null")
+def vector_collection(spark: SparkSession, d: str) -> DataFrame:
+    """Points of a vector collection: dimension checked, one per key, with the payload of record and chunk."""
+    v, t = table(spark, d, "embeddings", "vec_id", "embedding", "label"), table(spark, d, "documents", "doc_id", "text").where("text is not null")
+    rows = v.join(t, F.col("vec_id") == F.col("doc_id")).select(F.col("vec_id").alias("id"), "embedding", fields.payload(F.col("label"), chunk=F.col("text"), number=F.lit(0)).alias("payload"))
+    points = retrieve.collection(rows, "id", "embedding", 64)
+    return points.select("id", "payload.label", F.col("payload.original_text_preview").alias("preview"), F.col("payload.chunk_number").alias("number"))
 
 
 @query("select doc_id from documents where replace(url, '/', '__') not in (select replace(docidentifier_original, '/', '__') from gdelt_article where docidentifier_original is not null) and url is not null")

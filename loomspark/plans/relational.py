@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.fields import event_root_label
+from ..functions.fields import EVENT_ROOTS, event_root_label
 from ..functions.urls import normal_key
 from ..operators.dedup import duplicate_rows, first_n, keep_first, keep_last
 from ..operators.graph import super_edges
-from ..operators.quality import coverage, distribution, has_text, long_enough, profile
+from ..operators.quality import coverage, density, distribution, has_text, long_enough, profile
 from ..operators.relational import closure, filled, insert_absent, seeded_part, seeded_sample, with_both_parents
 from ..sources.tables import table
 
@@ -154,10 +154,7 @@ def upsert_absent(spark: SparkSession, d: str) -> DataFrame:
     return insert_absent(target, batch, "globaleventid", "o").select("globaleventid", "code")
 
 
-_LABELS = ("make public statement", "appeal", "express intent to cooperate", "consult", "engage in diplomatic cooperation", "engage in material cooperation", "provide aid", "yield", "investigate", "demand", "disapprove", "reject", "threaten", "protest", "exhibit force posture", "reduce relations", "coerce", "assault", "fight", "use unconventional mass violence")
-
-
-@query("select case when not regexp_full_match(eventrootcode, '[0-9]+') then lower(eventrootcode) else case substr(eventrootcode, 1, 2) " + " ".join(f"when '{i:02d}' then '{x}'" for i, x in enumerate(_LABELS, 1)) + " else lower(eventrootcode) end end as label, count(*) as n from gdelt_event where eventrootcode is not null group by all")
+@query("select case when not regexp_full_match(eventrootcode, '[0-9]+') then lower(eventrootcode) else case substr(eventrootcode, 1, 2) " + " ".join(f"when '{i}' then '{x}'" for i, x in EVENT_ROOTS.items()) + " else lower(eventrootcode) end end as label, count(*) as n from gdelt_event where eventrootcode is not null group by all")
 def event_root_decode(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "gdelt_event", "eventrootcode").where("eventrootcode is not null")
     return e.groupBy(event_root_label(F.col("eventrootcode")).alias("label")).agg(F.count("*").alias("n"))
@@ -178,15 +175,34 @@ def value_counts_topk(spark: SparkSession, d: str) -> DataFrame:
 _PROFILED = ("globaleventid", "isrootevent", "eventrootcode", "actor1name", "actor2name", "actiongeo_fullname", "nummentions")
 
 
-@query(" union all ".join(f"select '{c}' as column_name, count(*) as n_rows, count(*) - count({c}) as n_null, count(distinct {c}) as n_distinct, round(100.0 * (count(*) - count({c})) / count(*), 4) as pct_null from gdelt_event" for c in _PROFILED))
+@query(" union all ".join(f"select '{c}' as column_name, count(*) as n_rows, count(*) - count({c}) as n_null, count(distinct {c}) as n_distinct, round(100.0 * (count(*) - count({c})) / count(*), 4) as pct_null, round(100.0 * count(distinct {c}) / count(*), 4) as pct_unique from gdelt_event" for c in _PROFILED))
 def column_profile(spark: SparkSession, d: str) -> DataFrame:
     return profile(table(spark, d, "gdelt_event", *_PROFILED), list(_PROFILED), exact=True)
 
 
-@query()
+@query(" union all ".join(f"select '{c}' as column_name, count(*) as n_rows, count(*) - count({c}) as n_null, true as near from gdelt_event" for c in _PROFILED))
 def column_profile_approx(spark: SparkSession, d: str) -> DataFrame:
-    """The same in one pass without a distinct shuffle."""
-    return profile(table(spark, d, "gdelt_event", *_PROFILED), list(_PROFILED))
+    """The same in one pass without a distinct shuffle; near: the distinct values within 15 % (or 2) of the exact number."""
+    e = table(spark, d, "gdelt_event", *_PROFILED)
+    exact = profile(e, list(_PROFILED), exact=True).select("column_name", F.col("n_distinct").alias("x"))
+    near = F.abs(F.col("n_distinct") - F.col("x")) <= F.greatest(0.15 * F.col("x"), F.lit(2.0))
+    return profile(e, list(_PROFILED)).join(exact, "column_name").select("column_name", "n_rows", "n_null", near.alias("near"))
+
+
+@query("""with e as (select o_orderpriority, o_totalprice, min(o_totalprice) over () as a, (max(o_totalprice) over () - min(o_totalprice) over ()) / 20 as w from orders where o_totalprice is not null),
+    b as (select o_orderpriority, least(cast(floor((o_totalprice - a) / w) as bigint), 19) as bin, any_value(a) as a, any_value(w) as w, count(*) as n from e group by 1, 2)
+    select o_orderpriority, bin, round(a + bin * w, 6) as low, n, round(n / sum(n) over (partition by o_orderpriority), 6) as share from b""")
+def value_density(spark: SparkSession, d: str) -> DataFrame:
+    """Outline of the values of each group: counts in 20 bins of equal width."""
+    return density(table(spark, d, "orders", "o_orderpriority", "o_totalprice"), "o_orderpriority", "o_totalprice")
+
+
+@query(f"select vec_id, doc_id, {U_KEY} as k from embeddings join documents on vec_id = doc_id where url is not null and {U_KEY} in (select {A_KEY} from gdelt_article)")
+def vector_article_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors whose document is an article of the table."""
+    v = table(spark, d, "embeddings", "vec_id")
+    docs = table(spark, d, "documents", "doc_id", "url").where("url is not null").select("doc_id", normal_key(F.col("url")).alias("k"))
+    return docs.join(v, F.col("doc_id") == F.col("vec_id")).join(articles(spark, d), "k", "left_semi").select("vec_id", "doc_id", "k")
 
 
 @query("select eventrootcode, round(avg(cast(avgtone as double)), 3) as tone, round(avg(nummentions), 3) as mentions, count(*) as n from gdelt_event group by 1")

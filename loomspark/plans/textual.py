@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import fields, urls
 from ..operators import assemble, chunk, clean, entities, retrieve
 from ..operators.dedup import collapse_lines
+from ..session import delete_on_exit, shared_folder
 from ..sources.tables import table
 
 QUERIES, ORACLE = {}, {}
@@ -77,6 +81,17 @@ def domain_regex(spark: SparkSession, d: str) -> DataFrame:
     return _urls(spark, d).where(F.col("url").rlike(rf"(?i)https?://(?:[^\./]+\.)*?(?:{_ALTERNATION})(?:/|$)")).select("doc_id")
 
 
+_BARE = [x.replace(".", "") for x in DOMAINS]
+_DOTLESS = "[" + ", ".join(f"'{x}'" for x in _BARE) + "]"
+
+
+@query(f"select doc_id from documents where url is not null and len(list_filter({_DOTLESS}, lambda x: contains(replace({_HOST}, '.', ''), x))) > 0")
+def domain_dotless(spark: SparkSession, d: str) -> DataFrame:
+    """Hosts that hold a listed domain when dots do not count: the loosest rule."""
+    h = F.replace(urls.host(F.col("url")), F.lit("."), F.lit(""))
+    return _urls(spark, d).where(reduce(lambda a, b: a | b, [F.contains(h, F.lit(x)) for x in _BARE])).select("doc_id")
+
+
 @query("select doc_id, case " + " ".join(f"when contains(lower(url), '{x}') then '{x}'" for x in DOMAINS) + " else '(other)' end as domain from documents where url is not null")
 def domain_contains(spark: SparkSession, d: str) -> DataFrame:
     """First listed domain that occurs anywhere in the URL."""
@@ -204,11 +219,11 @@ def clean_boilerplate(spark: SparkSession, d: str) -> DataFrame:
     return clean.clean_texts(t, "text", F.col("source"), SITE_RULES).select("doc_id", F.md5("text").alias("h"))
 
 
-@query()
+@query("select doc_id, length(text) as before, length(new) as after from (select doc_id, text, array_to_string(list_filter(lines, lambda x, i: x = '' or i = 1 or x <> lines[i - 1]), chr(10)) as new from (select doc_id, text, string_split(text, chr(10)) as lines from documents where text is not null)) where length(new) < length(text)")
 def collapse_dup_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Texts that hold an equal line twice in a row, with one of them left (back-references: unit-tested)."""
+    """Texts that hold an equal line twice in a row, with one of them left."""
     t = table(spark, d, "documents", "doc_id", "text").where("text is not null")
-    return t.select("doc_id", F.length("text").alias("before"), F.length(collapse_lines(F.col("text"))).alias("after")).where("after < before")
+    return t.select("doc_id", F.length("text").cast("bigint").alias("before"), F.length(collapse_lines(F.col("text"))).cast("bigint").alias("after")).where("after < before")
 
 
 @query()
@@ -216,9 +231,49 @@ def recursive_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunk.chunk_texts(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
+# the different words of a text in order of first place, none longer than twelve letters: windows of three overlap in one way only
+_DISTINCT = r"list_filter(w, lambda x, i: list_position(w, x) = i)"
+_NGRAM = f"""select doc_id, {{text}} as text from (select doc_id, array_to_string({_DISTINCT}, ' ') as t, ({_DISTINCT})[1] as w1 from
+    (select doc_id, list_filter(regexp_extract_all(text, '[\\p{{{{L}}}}\\p{{{{N}}}}]+'), lambda x: length(x) <= 12) as w from documents where text is not null)) where t <> '' and {{where}}"""
+_BORDER = "coalesce(list_max(list_filter(range(1, least(length(w1), length(t) // 2) + 1), lambda k: {least} and substr(t, 1, k) = right(t, k))), 0)"
+_CUT = "substr(t, {k} + 1)"
+
+
+def _assembled(spark: SparkSession, d: str, how: assemble.Assembly) -> DataFrame:
+    """Texts' three-word n-grams put together again by a variant of the joining."""
+    t = table(spark, d, "documents", "doc_id", "text").where("text is not null")
+    w = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda x: F.length(x) <= 12))
+    parts = assemble.ngrams(t.select("doc_id", w.alias("w")), "doc_id", F.col("w"))
+    sentence = assemble.fragment(F.col("pre"), F.col("ngram"), F.col("post"), F.col("pos"))
+    return assemble.assemble(parts.select("doc_id", "pos", sentence.alias("sentence"), F.lit("2024-01-01T00:00:00").alias("date")), ["doc_id"], how).select("doc_id", "text")
+
+
+@query(_NGRAM.format(text=_CUT.format(k=_BORDER.format(least="true")), where="true"))
+def ngram_canonical(spark: SparkSession, d: str) -> DataFrame:
+    return _assembled(spark, d, assemble.CANONICAL)
+
+
+@query(_NGRAM.format(text="t", where="length(t) >= 100"))
+def ngram_by_word(spark: SparkSession, d: str) -> DataFrame:
+    return _assembled(spark, d, assemble.BY_WORD_15)
+
+
+_CHAR = _NGRAM.format(text="case when length(t) < 50 then t else " + _CUT.format(k=_BORDER.format(least="k >= 6")) + " end", where="length(case when length(t) < 50 then t else " + _CUT.format(k=_BORDER.format(least="k >= 6")) + " end) >= 150")
+
+
+@query(_CHAR)
+def ngram_by_char_positions(spark: SparkSession, d: str) -> DataFrame:
+    return _assembled(spark, d, assemble.BY_CHAR_POSITIONS)
+
+
+@query(_CHAR)
+def ngram_by_char(spark: SparkSession, d: str) -> DataFrame:
+    return _assembled(spark, d, assemble.BY_CHAR)
+
+
 @query()
 def ngram_reassemble(spark: SparkSession, d: str) -> DataFrame:
-    """Titles and texts' windows put together again from overlapping fragments."""
+    """Whole texts from windows of twelve words, repeated words and all."""
     parts = assemble.shred(table(spark, d, "documents", "doc_id", "text", "published_at"), "doc_id", "text")
     return assemble.assemble(parts.withColumn("date", F.lit("2024-01-01T00:00:00")), ["doc_id"], assemble.Assembly(window=None))
 
@@ -243,6 +298,33 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.bm25(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", WORDS)
 
 
+@query(_BM25)
+def bm25_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The same from a stored index: only the postings of the query words are read."""
+    path = f"{shared_folder(spark)}/textindex-{uuid.uuid4().hex}"
+    delete_on_exit(spark, path)
+    retrieve.save_text_index(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", path)
+    return retrieve.search_text_index(spark, path, "doc_id", WORDS)
+
+
+@query("select label, vec_id, score, cast(rank as integer) as rank from (select label, vec_id, round(cast(embedding[2] as double), 6) as score, row_number() over (partition by label order by round(cast(embedding[2] as double), 6) desc, vec_id) as rank from embeddings) where rank <= 10")
+def rerank_by_score(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates by their own score where there is no scorer: the first ten of a group."""
+    e = table(spark, d, "embeddings", "label", "vec_id", "embedding")
+    return retrieve.rerank(e.select("label", "vec_id", F.round(F.col("embedding")[1].cast("double"), 6).alias("score")), "label", "vec_id")
+
+
+@query("""with s as (select label, vec_id, round(cast(embedding[2] as double), 6) as score, row_number() over (partition by label order by round(cast(embedding[1] as double), 6) desc, vec_id) as rank, 4 * round(cast(embedding[1] as double), 6) as x from embeddings),
+    p as (select *, 1 / (1 + exp(-x)) as p from s), q as (select *, lag(p) over (partition by label order by rank) - p as drop_ from p),
+    z as (select *, max(case when p < 0.25 or (rank in (2, 3) and drop_ > 0.45) or (rank >= 4 and drop_ > 0.20) or rank > 10 then 1 else 0 end) over (partition by label order by rank) as stopped from q)
+    select label, vec_id, score, cast(rank as integer) as rank, round(p, 6) as p from z where stopped = 0""")
+def rerank_by_scorer(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates by a scorer's column, cut adaptively."""
+    e = table(spark, d, "embeddings", "label", "vec_id", "embedding")
+    c = e.select("label", "vec_id", F.round(F.col("embedding")[1].cast("double"), 6).alias("score"), F.round(F.col("embedding")[0].cast("double"), 6).alias("x"))
+    return retrieve.rerank(c, "label", "vec_id", 4 * F.col("x")).drop("x")
+
+
 def _query_vector(spark: SparkSession, d: str) -> list[float]:
     return [float(x) for x in table(spark, d, "embeddings", "vec_id", "embedding").orderBy("vec_id").first()["embedding"]]
 

@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import json
+import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructType
 
-from ..session import arrow_map
+from ..session import arrow_map, materialize
 from .schemas import strings
 
+def schema_of(ddl: str) -> StructType:
+    return StructType.fromDDL(ddl)
+
+
 FRAGMENT = "url string, date string, lang string, type string, pos string, pre string, ngram string, post string, _broken string"
 
 
@@ -31,11 +38,40 @@ def read_tsv_strict(spark: SparkSession, path: str, names: list[str]) -> DataFra
     return lines.select(*[F.nullif(F.get("p", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)])
 
 
+def file_marks(spark: SparkSession, path: str) -> dict[str, str]:
+    """Encoding of each file of path by its first bytes, of which no more are read: UTF-16 by mark or by zero bytes, else UTF-8."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = {}
+    for status in fs.globStatus(jpath) or []:
+        inner = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+        for f in inner:
+            name = f.getPath().getName()
+            if f.isDirectory() or name[:1] in "_.":
+                continue
+            stream = fs.open(f.getPath())
+            try:
+                b = [stream.read() for _ in range(4)]
+            finally:
+                stream.close()
+            mark = {(0xFF, 0xFE): "UTF-16", (0xFE, 0xFF): "UTF-16"}.get((b[0], b[1]))
+            out[f.getPath().toString()] = mark or ("UTF-16LE" if b[1] == b[3] == 0 else "UTF-16BE" if b[0] == b[2] == 0 else "UTF-8")
+    return out
+
+
 def read_csv_any_utf(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header in UTF-8 or UTF-16, told by the byte order mark of its first file."""
-    mark = spark.read.format("binaryFile").load(path).select(F.hex(F.substring("content", 1, 2)).alias("m")).first()
-    code = "UTF-16" if mark and mark["m"] in ("FFFE", "FEFF") else "UTF-8"
-    return spark.read.option("header", True).option("encoding", code).option("multiLine", code != "UTF-8").csv(path)
+    """CSV files with a header, in UTF-8 or UTF-16, mixed as they may be; columns by name, missing ones null.
+
+    UTF-8 files are split as usual; a UTF-16 file is one task, as its line ends
+    cannot be found from its middle.
+    """
+    by: dict[str, list[str]] = {}
+    for name, code in file_marks(spark, path).items():
+        by.setdefault(code, []).append(name)
+    parts = [spark.read.option("header", True).option("encoding", code).option("multiLine", code != "UTF-8").csv(names) for code, names in sorted(by.items())]
+    if not parts:
+        raise FileNotFoundError(path)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_csv_mixed(spark: SparkSession, path: str, names: list[str], numbers: list[str]) -> DataFrame:
@@ -112,6 +148,99 @@ def link_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(third.alias("url")).where(F.startswith("url", F.lit("http")))
 
 
+def read_scrape(spark: SparkSession, path: str, least: int = 150) -> DataFrame:
+    """Crawl results (JSON lines) as articles (url, text, title, author, date): typed and renamed, broken lines and short texts dropped, a missing title empty."""
+    rows = spark.read.schema("url string, title string, body_text string, author string, date string, _broken string").option("columnNameOfCorruptRecord", "_broken").json(path)
+    rows = rows.where("_broken is null and coalesce(url, '') <> ''").where(F.length("body_text") >= least)
+    return rows.select("url", F.col("body_text").alias("text"), F.coalesce("title", F.lit("")).alias("title"), "author", F.to_timestamp(F.substring("date", 1, 19)).alias("date"))
+
+
+def read_union(spark: SparkSession, paths: list[str], *columns: str) -> DataFrame:
+    """Parquet of several directories as one table, by name; columns a directory lacks are null."""
+    parts = [spark.read.parquet(p) for p in paths]
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return out.select(*columns) if columns else out
+
+
+def read_sql(spark: SparkSession, url: str, query: str, key: str | None = None, parts: int = 8, fetch: int = 10_000, **options: str) -> DataFrame:
+    """Rows of a database query, fetched by cursor; with a numeric key in ``parts`` ranges of it at once."""
+    reader = spark.read.format("jdbc").option("url", url).option("fetchsize", fetch).options(**options)
+    if key is None:
+        return reader.option("query", query).load()
+    ends = reader.option("query", f"select min({key}) as a, max({key}) as b from ({query}) q").load().first()
+    if ends[0] is None:
+        return spark.read.format("jdbc").option("url", url).options(**options).option("query", query).load()
+    whole = spark.read.format("jdbc").option("url", url).option("fetchsize", fetch).options(**options)
+    return whole.option("dbtable", f"({query}) q").option("partitionColumn", key).option("lowerBound", int(ends[0])).option("upperBound", int(ends[1]) + 1).option("numPartitions", parts).load()
+
+
+def write_copy_tsv(df: DataFrame, path: str) -> None:
+    """Tab-separated text for a bulk COPY: null is \\N; tabs, line ends and backslashes are escaped."""
+    cells = []
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`").cast("string")
+        for a, b in (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")) if kind == "string" else ():
+            c = F.replace(c, F.lit(a), F.lit(b))
+        cells.append(F.coalesce(c, F.lit("\\N")))
+    df.select(F.concat_ws("\t", *cells).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_copy_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What write_copy_tsv wrote."""
+    fields = schema_of(schema).fields
+    p = F.split("value", "\t", -1)
+
+    def cell(i: int) -> Column:
+        c = F.get("p", F.lit(i))
+        plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"(?<!\\)((?:\\\\)*)\\t", "$1\t"), r"(?<!\\)((?:\\\\)*)\\n", "$1\n"), r"(?<!\\)((?:\\\\)*)\\r", "$1\r")
+        return F.when(c != "\\N", F.replace(plain, F.lit("\\\\"), F.lit("\\")))
+
+    return spark.read.text(path).select(p.alias("p")).select(*[cell(i).cast(f.dataType).alias(f.name) for i, f in enumerate(fields)])
+
+
+def append_csv(df: DataFrame, path: str) -> None:
+    """Rows added to a CSV directory, each file with its header; readers see one header a file whether it is the first or not."""
+    df.write.mode("append").option("header", True).csv(path)
+
+
+def batch_numbers(df: DataFrame, order: list[str], size: int, file: str | None = None) -> DataFrame:
+    """df with ``batch``: rows of a file (or of all) in order, ``size`` to a batch, from 0.
+
+    Without a file the ranks are made per range of the order and shifted by
+    the ranges before, so that no task sorts everything.
+    """
+    if file:
+        return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(file).orderBy(*order)) - 1) / size))
+    parts = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = parts.groupBy("_part").agg(F.count("*").alias("n"))
+    before = before.withColumn("_before", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")  # one row a part
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1 + F.col("_before")
+    return parts.join(F.broadcast(before), "_part").withColumn("batch", F.floor(rank / size)).drop("_part", "_before")
+
+
+def write_report(sheets: dict[str, DataFrame], path: str, most: int = 100_000) -> None:
+    """A workbook with a sheet for each result; a sheet of more than ``most`` rows is refused, as a report is no table store.
+
+    Cells are written as inline strings and numbers; path is on the driver.
+    """
+    from xml.sax.saxutils import escape
+
+    head, ns = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>', 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(sheets) + 1))
+        z.writestr("[Content_Types].xml", f'{head}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{kinds}</Types>')
+        relations, office = "http://schemas.openxmlformats.org/package/2006/relationships", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+        z.writestr("_rels/.rels", f'{head}<Relationships xmlns="{relations}"><Relationship Id="r1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{relations}">' + "".join(f'<Relationship Id="r{i}" Type="{office}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1)) + "</Relationships>")
+        z.writestr("xl/workbook.xml", f'{head}<workbook {ns} xmlns:r="{office}"><sheets>' + "".join(f'<sheet name="{escape(n[:31])}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(sheets, 1)) + "</sheets></workbook>")
+        for i, df in enumerate(sheets.values(), 1):
+            rows = df.limit(most + 1).collect()
+            if len(rows) > most:
+                raise ValueError(f"more than {most} rows")
+            cell = lambda v: "<c/>" if v is None else f"<c><v>{v}</v></c>" if isinstance(v, (int, float)) and not isinstance(v, bool) else f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f"{head}<worksheet {ns}><sheetData>" + "".join(f"<row>{''.join(map(cell, r))}</row>" for r in [df.columns, *rows]) + "</sheetData></worksheet>")
+
+
 def write_parquet(df: DataFrame, path: str, parts: int | None = None, partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
     out = df.repartition(parts) if parts else df
     w = out.write.mode(mode).option("compression", "snappy")
