@@ -235,20 +235,22 @@ def recursive_chunks(spark: SparkSession, d: str) -> DataFrame:
 _DISTINCT = r"list_filter(w, lambda x, i: list_position(w, x) = i)"
 _NGRAM = f"""select doc_id, {{text}} as text from (select doc_id, array_to_string({_DISTINCT}, ' ') as t, ({_DISTINCT})[1] as w1 from
     (select doc_id, list_filter(regexp_extract_all(text, '[\\p{{{{L}}}}\\p{{{{N}}}}]+'), lambda x: length(x) <= 12) as w from documents where text is not null)) where t <> '' and {{where}}"""
-_BORDER = "coalesce(list_max(list_filter(range(1, least(length(w1), length(t) // 2) + 1), lambda k: {least} and substr(t, 1, k) = right(t, k))), 0)"
-_CUT = "substr(t, {k} + 1)"
+_BORDER = "coalesce(list_max(list_filter(range(1, least(length(w1), length(t) // 2) + 1), lambda k: substr(t, 1, k) = right(t, k))), 0)"
+_CUT = "trim(substr(t, {k} + 1))"
 
 
-def _assembled(spark: SparkSession, d: str, how: assemble.Assembly) -> DataFrame:
-    """Texts' three-word n-grams put together again by a variant of the joining."""
+def _assembled(spark: SparkSession, d: str, how: assemble.Assembly, most: int = 12, numbered: bool = False) -> DataFrame:
+    """Texts' three-word n-grams put together again by a variant of the joining; words numbered where letters alone overlap by chance."""
     t = table(spark, d, "documents", "doc_id", "text").where("text is not null")
-    w = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda x: F.length(x) <= 12))
+    w = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda x: F.length(x) <= most))
+    if numbered:
+        w = F.transform(w, lambda x, i: F.concat(F.lpad(i.cast("string"), 5, "0"), x))
     parts = assemble.ngrams(t.select("doc_id", w.alias("w")), "doc_id", F.col("w"))
     sentence = assemble.fragment(F.col("pre"), F.col("ngram"), F.col("post"), F.col("pos"))
     return assemble.assemble(parts.select("doc_id", "pos", sentence.alias("sentence"), F.lit("2024-01-01T00:00:00").alias("date")), ["doc_id"], how).select("doc_id", "text")
 
 
-@query(_NGRAM.format(text=_CUT.format(k=_BORDER.format(least="true")), where="true"))
+@query(_NGRAM.format(text=_CUT.format(k=_BORDER), where="true"))
 def ngram_canonical(spark: SparkSession, d: str) -> DataFrame:
     return _assembled(spark, d, assemble.CANONICAL)
 
@@ -258,17 +260,18 @@ def ngram_by_word(spark: SparkSession, d: str) -> DataFrame:
     return _assembled(spark, d, assemble.BY_WORD_15)
 
 
-_CHAR = _NGRAM.format(text="case when length(t) < 50 then t else " + _CUT.format(k=_BORDER.format(least="k >= 6")) + " end", where="length(case when length(t) < 50 then t else " + _CUT.format(k=_BORDER.format(least="k >= 6")) + " end) >= 150")
+_CHAR = f"""select doc_id, t as text from (select doc_id, array_to_string(list_transform({_DISTINCT}, lambda x, i: lpad(cast(i - 1 as varchar), 5, '0') || x), ' ') as t from
+    (select doc_id, list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) <= 8) as w from documents where text is not null)) where length(t) >= 150"""
 
 
 @query(_CHAR)
 def ngram_by_char_positions(spark: SparkSession, d: str) -> DataFrame:
-    return _assembled(spark, d, assemble.BY_CHAR_POSITIONS)
+    return _assembled(spark, d, assemble.BY_CHAR_POSITIONS, 8, True)
 
 
 @query(_CHAR)
 def ngram_by_char(spark: SparkSession, d: str) -> DataFrame:
-    return _assembled(spark, d, assemble.BY_CHAR)
+    return _assembled(spark, d, assemble.BY_CHAR, 8, True)
 
 
 @query()

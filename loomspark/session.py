@@ -20,6 +20,7 @@ def local_session(name: str = "loomspark", cpus: str = "8", partitions: int = 8)
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.files.maxPartitionBytes", "128m")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.driver.host", "127.0.0.1")
