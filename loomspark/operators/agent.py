@@ -6,11 +6,14 @@ retriever returns a lazy DataFrame, and only its few top rows reach the driver.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 
 STORES = ("sql_db", "graph_db", "vector_db")
@@ -43,7 +46,11 @@ def route(question: str) -> list[str]:
 def run_sql(spark: SparkSession, text: str) -> DataFrame:
     """A generated statement, fences removed, if it only reads: Spark's parser decides, and the whole plan is walked."""
     sql = re.sub(r"```[A-Za-z]*", "", text).strip().rstrip(";")
-    if _CALLS.search(sql) or not _only_reads(spark, spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)):
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except ParseException as e:
+        raise ValueError("not a single statement") from e
+    if _CALLS.search(sql) or not _only_reads(spark, plan):
         raise ValueError("only a single query is allowed")
     return spark.sql(sql)
 
@@ -107,3 +114,35 @@ def answer(
         state.asked = rewrite(state.asked)
     state.answer = generate(state.question, found)
     return state
+
+
+def service(ask: Callable[[str], State], host: str = "127.0.0.1", port: int = 0) -> ThreadingHTTPServer:
+    """An HTTP server, not yet running, that answers POST /ask {"question": ...} with answer, stores, contexts and steps as JSON."""
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self) -> None:  # noqa: N802
+            try:
+                body = json.loads(self.rfile.read(int(self.headers.get("Content-Length") or 0)))
+                question = body["question"] if self.path == "/ask" else None
+            except (ValueError, KeyError, TypeError):
+                question = None
+            if not isinstance(question, str) or not question.strip():
+                return self._send(404 if self.path != "/ask" else 400, {"error": "no question"})
+            try:
+                state = ask(question)
+            except Exception as e:  # noqa: BLE001
+                return self._send(500, {"error": type(e).__name__})
+            self._send(200, {"answer": state.answer, "stores": state.stores, "contexts": state.evidence, "steps": state.steps})
+
+        def _send(self, code: int, body: dict) -> None:
+            data = json.dumps(body, ensure_ascii=False).encode()
+            self.send_response(code)
+            self.send_header("Content-Type", "application/json; charset=utf-8")
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *_: object) -> None:
+            pass
+
+    return ThreadingHTTPServer((host, port), Handler)

@@ -112,6 +112,11 @@ def search_text_index(spark: SparkSession, path: str, key: str, query: list[str]
     return rows.join(F.broadcast(df), "term").groupBy(key).agg(F.round(F.sum(part), 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
+def scan_text_index(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    """All postings of a stored index, only the columns asked for."""
+    return spark.read.parquet(f"{path}/postings").select(*columns)
+
+
 def collection(points: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
     """Points that a vector collection of the dimension takes: with a key and a vector of that size, the first by content per key."""
     fit = points.where(F.col(key).isNotNull() & (F.size(vector) == dim))

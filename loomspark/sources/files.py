@@ -142,6 +142,15 @@ def describe(df: DataFrame, sample: int = 3) -> dict[str, list]:
     return {"columns": df.dtypes, "rows": [r.asDict() for r in df.limit(sample).collect()]}
 
 
+def catalogue(spark: SparkSession, database: str | None = None) -> DataFrame:
+    """(table_name, position, column_name, type) of all tables and views of a database: the schema a query writer is shown."""
+    rows = []
+    for t in spark.catalog.listTables(database):
+        name = t.name if t.isTemporary else ".".join([*(t.namespace or []), t.name])
+        rows += [(t.name, i, c.name, c.dataType) for i, c in enumerate(spark.catalog.listColumns(name), 1)]
+    return spark.createDataFrame(rows, "table_name string, position int, column_name string, type string")
+
+
 def link_list(spark: SparkSession, path: str) -> DataFrame:
     """Third field of each line, where it is a link."""
     third = F.get(F.split(F.trim("value"), r"\s+"), F.lit(2))

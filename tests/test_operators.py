@@ -402,3 +402,141 @@ def test_pages_and_triples(spark):
     assert [r["k"] for r in clean.pages_text(df, "k", "html").collect()] == [1]
     t = spark.createDataFrame([("a", "r", "b"), ("a", "r", "b"), (" ", "r", "b"), ("a", "q", "b"), ("a", "r", None)], "subject string, relation string, object string")
     assert graph.valid_triples(t, ["r"]).collect() == [("a", "r", "b")]
+
+
+# --- guards, readers and sinks ---
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "with t as (select 1 as a) insert into x select * from t",
+        "from (select 1 as a) insert into x select a insert into y select a",
+        "insert overwrite x select 1",
+        "create table x as select 1",
+        "select transform(a) using 'cat' from (select 'b' as a)",
+        "select java_method('java.lang.System', 'getProperty', 'user.home')",
+        "select 1; select 2",
+        "set a = 1",
+        "not sql at all",
+    ],
+)
+def test_only_queries_are_run(spark, sql):
+    from loomspark.operators.agent import run_sql
+
+    with pytest.raises(ValueError):
+        run_sql(spark, sql)
+
+
+def test_queries_are_run(spark):
+    from loomspark.operators.agent import run_sql
+
+    assert run_sql(spark, "```sql\nwith t as (select 1 as a union select 2) select count(*) as n from t where a in (select 1);\n```").collect() == [(1,)]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from loomspark.session import shared_folder
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    jsc = SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none))
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(_jsc=jsc, master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        shared_folder(cluster)
+
+
+def test_literal_lists_of_any_quotes(spark):
+    from loomspark.functions.fields import literal_list
+
+    cases = [("""['one, two', 'say "hi"', "it's"]""", ["one, two", 'say "hi"', "it's"]), ("[]", []), ("nan", None), ("['a'", None), (None, None), ("__import__('os')", None)]
+    df = spark.createDataFrame([(a,) for a, _ in cases], "t string")
+    assert [r["x"] for r in df.select(literal_list("t").alias("x")).collect()] == [b for _, b in cases]
+
+
+def test_copy_tsv_round_trip(spark, tmp_path):
+    from loomspark.sources.files import read_copy_tsv, write_copy_tsv
+
+    rows = [(1, "a\tb\\nc\nd\r"), (2, None), (3, ""), (4, "\\N"), (5, "\\\\t\\t")]
+    write_copy_tsv(spark.createDataFrame(rows, "k int, t string"), str(tmp_path / "c"))
+    assert sorted(tuple(r) for r in read_copy_tsv(spark, str(tmp_path / "c"), "k int, t string").collect()) == rows
+
+
+def test_report_has_a_sheet_per_result(spark, tmp_path):
+    import zipfile
+    from xml.dom.minidom import parseString
+
+    from loomspark.sources.files import write_report
+
+    df = spark.createDataFrame([(1, "a & <b>"), (2, None)], "n int, t string")
+    path = str(tmp_path / "r.xlsx")
+    write_report({"one": df, "two": df.limit(0), "three": df, "four": df}, path)
+    with zipfile.ZipFile(path) as z:
+        assert sum(n.startswith("xl/worksheets/") for n in z.namelist()) == 4
+        sheet = parseString(z.read("xl/worksheets/sheet1.xml"))
+        assert [t.firstChild.data for t in sheet.getElementsByTagName("t")] == ["n", "t", "a & <b>"] and len(sheet.getElementsByTagName("row")) == 3
+    with pytest.raises(ValueError):
+        write_report({"one": df}, path, most=1)
+
+
+def test_equal_lines_are_folded(spark):
+    from loomspark.operators.dedup import collapse_lines
+
+    cases = [("a\na\n\n\nb\na", "a\n\n\nb\na"), ("", ""), ("a\na\na", "a"), (None, None), ("a", "a")]
+    df = spark.createDataFrame([(a,) for a, _ in cases], "t string")
+    assert [r["x"] for r in df.select(collapse_lines(F.col("t")).alias("x")).collect()] == [b for _, b in cases]
+
+
+def test_a_service_answers(spark):
+    import json
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from loomspark.operators.agent import answer, service
+
+    server = service(lambda q: answer(q, {"vector_db": lambda _: spark.createDataFrame([("found",)], "t string")}))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    address = f"http://127.0.0.1:{server.server_port}/ask"
+    try:
+        got = json.load(urllib.request.urlopen(urllib.request.Request(address, b'{"question": "what is it"}'), timeout=60))
+        assert got["answer"] == "found" and got["stores"] == ["vector_db"]
+        with pytest.raises(urllib.error.HTTPError):
+            urllib.request.urlopen(urllib.request.Request(address, b"{}"), timeout=60)
+    finally:
+        server.shutdown()
+        server.server_close()
+
+
+def test_relations_are_classified(spark):
+    import random
+
+    from loomspark.operators.relations import classify_relations, train_relations
+
+    r = random.Random(4)
+    words = {"owns": ["bought", "holds", "shares"], "attacks": ["struck", "shelled", "raided"], "meets": ["talked", "visited", "hosted"]}
+    rows = [(i, f"subject a{r.randrange(50)} object b{r.randrange(50)} text they {r.choice(words[k])} it {r.randrange(9)}", k) for i in range(300) for k in [r.choice(sorted(words))]]
+    df = spark.createDataFrame(rows, "id int, text string, relation string")
+    model = train_relations(df.where("id % 5 > 0"), "text", "relation")
+    got = {x["id"]: x["relation"] for x in classify_relations(model, df.where("id % 5 = 0"), "id", "text").collect()}
+    assert len(got) > 50 and sum(got[i] == k for i, _, k in rows if i in got) >= 0.95 * len(got)
+
+
+def test_catalogue_lists_columns(spark):
+    from loomspark.sources.files import catalogue
+
+    spark.createDataFrame([(1, "a")], "k int, t string").createOrReplaceTempView("shown")
+    try:
+        got = [tuple(r) for r in catalogue(spark).where("table_name = 'shown'").orderBy("position").collect()]
+        assert got == [("shown", 1, "k", "int"), ("shown", 2, "t", "string")]
+    finally:
+        spark.catalog.dropTempView("shown")
+
+
+def test_hot_edges_keep_their_best_chunks(spark):
+    from loomspark.operators.graph import super_edges
+
+    rows = [("s", "t", "r", i / 1000, f"c{i:04d}") for i in range(500)] + [("s", "t", "r", 0.9, None), ("s", None, "r", 0.1, "x")]
+    got = {r["target_id"]: r for r in super_edges(spark.createDataFrame(rows, "source_id string, target_id string, relation string, score double, chunk_id string")).collect()}
+    assert got["t"]["weight"] == 500 and got["t"]["max_score"] == 0.9 and got["t"]["chunk_ids"].split("|") == [f"c{i:04d}" for i in range(499, 479, -1)]
+    assert got[None]["chunk_ids"] == "x"
