@@ -118,14 +118,26 @@ def _tiled(doc: int, item: int, number: int, text: np.ndarray, passage: np.ndarr
     return [(doc, item, number, len(passage), sum(x[2] for x in found), len(found), found[0][2])] if found else []
 
 
-def _tiler(passages: list[tuple[int, int, list[str]]], min_words: int):
-    """Tiles of every text with the passages, which are all here."""
+def _reachable(owner: np.ndarray, place: np.ndarray, width: int, passages: int) -> np.ndarray:
+    """Words of each passage that lie in a seed of it at one of the places: no tiling covers more."""
+    by = np.lexsort((place, owner))
+    owner, place = owner[by], place[by]
+    step = np.full(len(owner), width)
+    same = owner[1:] == owner[:-1]
+    step[:-1][same] = np.minimum(np.diff(place)[same], width)
+    return np.bincount(owner, weights=step, minlength=passages)
+
+
+def _tiler(passages: list[tuple[int, int, list[str]]], min_words: int, coverage: float):
+    """Tiles of every text with the passages, which are all here; only where they can cover so much of a passage."""
     coded = [(item, number, _codes(ws)) for item, number, ws in passages]
     seeds = [rolled(ids, min_words) for _, _, ids in coded]
     owner = np.repeat(np.arange(len(coded)), [len(x) for x in seeds])
+    place = np.concatenate([*(np.arange(len(x)) for x in seeds), np.empty(0, dtype=np.int64)])
+    enough = np.maximum(np.array([len(ids) for _, _, ids in coded]) * coverage - 1e-9, 1)
     seeds = np.concatenate([*seeds, np.empty(0, dtype=np.uint64)])
     order = np.argsort(seeds, kind="stable")
-    seeds, owner = seeds[order], owner[order]
+    seeds, owner, place = seeds[order], owner[order], place[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
@@ -139,8 +151,8 @@ def _tiler(passages: list[tuple[int, int, list[str]]], min_words: int):
             ends = np.searchsorted(seeds, h[hit], side="right")
             for d in np.unique(doc).tolist():
                 own = doc == d
-                met = np.unique(np.concatenate([owner[a:b] for a, b in zip(spot[hit[own]].tolist(), ends[own].tolist())]))
-                for k in met.tolist():
+                spots = np.unique(np.concatenate([np.arange(a, b) for a, b in {*zip(spot[hit[own]].tolist(), ends[own].tolist())}]))
+                for k in np.flatnonzero(_reachable(owner[spots], place[spots], min_words, len(coded)) >= enough).tolist():
                     item, number, passage = coded[k]
                     out += _tiled(batch.column(0)[d].as_py(), item, number, flat[offsets[d] : offsets[d + 1]], passage, min_words)
             yield _tile_batch(out)
@@ -183,7 +195,7 @@ def _tiles_of(min_words: int):
     return run
 
 
-def _joined_tiles(corpus: DataFrame, passages: DataFrame, min_words: int) -> DataFrame:
+def _joined_tiles(corpus: DataFrame, passages: DataFrame, min_words: int, coverage: float) -> DataFrame:
     seeds = materialize(arrow_map(passages, _seeds(min_words, None), "item_id bigint, passage int, h bigint"), "seeds")
     place = F.shiftrightunsigned("h", 64 - BITS)
     parts = seeds.groupBy(F.floor(place / 32768).alias("part")).agg(F.bitmap_construct_agg((place % 32768)).alias("bits"))
@@ -191,27 +203,31 @@ def _joined_tiles(corpus: DataFrame, passages: DataFrame, min_words: int) -> Dat
     for r in parts.toLocalIterator():  # at most 2^BITS bits, whatever the items
         bitmap[r["part"] * 4096 : (r["part"] + 1) * 4096] = r["bits"]
     shared = corpus.sparkSession.sparkContext.broadcast(bytes(bitmap))
-    met = arrow_map(corpus, _seeds(min_words, shared), "doc_id bigint, h bigint").join(seeds, "h").select("doc_id", "item_id", "passage").distinct()
-    met = materialize(met, "met")
+    met = arrow_map(corpus, _seeds(min_words, shared), "doc_id bigint, h bigint").join(seeds, "h").groupBy("doc_id", "item_id", "passage").agg(F.count("*").alias("n"))
+    if coverage:  # so many different seeds cover n * min_words words at most; a passage has about its distinct seeds in words
+        sizes = seeds.groupBy("item_id", "passage").agg(F.count("*").alias("size"))
+        met = met.join(sizes, ["item_id", "passage"]).where(F.col("n") * min_words >= F.col("size") * coverage)
+    met = materialize(met.select("doc_id", "item_id", "passage"), "met")
     texts = corpus.join(met.select("doc_id").distinct(), "doc_id", "left_semi")
     rows = met.join(passages.withColumnRenamed("text", "ptext"), ["item_id", "passage"]).join(texts, "doc_id")
     return arrow_map(rows.select("doc_id", "item_id", "passage", "ptext", "text"), _tiles_of(min_words), TILE_SCHEMA)
 
 
-def tiles(docs: DataFrame, key: str, text: str, items: DataFrame, min_words: int = 13, most_chars: int = BROADCAST_CHARS) -> DataFrame:
+def tiles(docs: DataFrame, key: str, text: str, items: DataFrame, min_words: int = 13, most_chars: int = BROADCAST_CHARS, coverage: float = 0.0) -> DataFrame:
     """One row of TILE_SCHEMA per document and item passage with a tile of at least min_words words.
 
     items(item_id, passages array<string>). Null and empty texts and passages
     match nothing; passages of fewer than min_words words neither; an item or
     passage given twice yields a row each time it is given under another id
-    or number. Empty tables give no rows.
+    or number. Empty tables give no rows. Pairs of which the seeds show that
+    no tiling reaches ``coverage`` are not tiled.
     """
     corpus = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("text is not null")
     passages = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.posexplode("passages").alias("passage", "text")).where("text <> ''")
     if (passages.agg(F.sum(F.length("text"))).first()[0] or 0) > most_chars:
-        return _joined_tiles(corpus, passages, min_words)
+        return _joined_tiles(corpus, passages, min_words, coverage)
     here = [(r["item_id"], r["passage"], w) for r in passages.collect() if len(w := words(r["text"])) >= min_words]
-    return arrow_map(corpus, _tiler(here, min_words), TILE_SCHEMA)
+    return arrow_map(corpus, _tiler(here, min_words, coverage), TILE_SCHEMA)
 
 
 def leaks(tiled: DataFrame, coverage: float = COVERAGE) -> DataFrame:

@@ -67,10 +67,10 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(_texts(spark, sf_dir), "doc_id", "text")
 
 
-def _tiles(spark: SparkSession, sf_dir: str, min_words: int = 13) -> DataFrame:
+def _tiles(spark: SparkSession, sf_dir: str, min_words: int = 13, coverage: float = 0.0) -> DataFrame:
     items = table(spark, sf_dir, "eval_item", "item_id", "ground_truth", "gold_contexts")
     passages = F.concat(F.array("ground_truth"), F.coalesce("gold_contexts", F.array().cast("array<string>")))
-    return leak.tiles(_texts(spark, sf_dir), "doc_id", "text", items.select("item_id", passages.alias("passages")), min_words)
+    return leak.tiles(_texts(spark, sf_dir), "doc_id", "text", items.select("item_id", passages.alias("passages")), min_words, coverage=coverage)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of which half or more is in a text, in tiles of five words or more and any order."""
-    return leak.leaks(_tiles(spark, sf_dir, leak.LEAK_WORDS))
+    return leak.leaks(_tiles(spark, sf_dir, leak.LEAK_WORDS, leak.COVERAGE))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,6 +133,19 @@ dw as (select doc_id, {_W.format(c='text')} as w from documents where text is no
 dg as (select doc_id, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i+12], ' '))) as g from dw where len(w) >= 13)
 select distinct doc_id, item_id from dg join pg using (g)""",
 }
+ORACLE["p1_groups"] = f"""
+with recursive w as (select doc_id, {_W.format(c='text')} as w from documents where text is not null),
+s as (select doc_id, unnest(case when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) end) as g from w where len(w) > 0),
+f as (select doc_id, md5(string_agg(g, '|' order by g)) as form, count(*) as n from (select distinct doc_id, g from s) group by doc_id),
+m as (select doc_id, n, min(doc_id) over (partition by form) as class_id from f),
+u as (select distinct s.doc_id, g from s join m on m.doc_id = s.doc_id and m.class_id = s.doc_id),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as k from u a join u b on a.g = b.g and a.doc_id < b.doc_id group by all),
+p as (select a, b from c join m x on x.doc_id = a join m y on y.doc_id = b where k >= 0.5 * (x.n + y.n - k)),
+e as (select a, b from p union all select b, a from p),
+r as (select a, b from e union select r.a, e.b from r join e on r.b = e.a),
+low as (select a, least(a, min(b)) as root from r group by a),
+deg as (select a, count(*) as n from e group by a)
+select doc_id, class_id, coalesce(root, class_id) as group_id, coalesce(deg.n, 0) as n_links from m left join low on low.a = class_id left join deg on deg.a = class_id"""
 ORACLE["p3_clean"] = f"""
 with f as ({ORACLE['p3_found']}), g as (select doc_id, list(line_no) as gone from f group by doc_id)
 select doc_id, case when gone is null then text else array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: not list_contains(gone, i)), chr(10)) end as text

@@ -553,7 +553,7 @@ def test_reordered_copies_are_covered(spark):
     texts = [" noise ".join(reversed(sentences)), " noise ".join(sentences[:2]), "nothing here at all of it", " ".join(sentences)]
     items = spark.createDataFrame([(1, [" ".join(sentences)])], "item_id bigint, passages array<string>")
     for most in (8_000_000, 0):
-        found = leak.leaks(leak.tiles(frame(spark, texts), "doc_id", "text", items, leak.LEAK_WORDS, most))
+        found = leak.leaks(leak.tiles(frame(spark, texts), "doc_id", "text", items, leak.LEAK_WORDS, most, leak.COVERAGE))
         assert {x["doc_id"]: (round(x["coverage"], 3), x["tiles"]) for x in found.collect()} == {0: (1.0, 6), 3: (1.0, 1)}
 
 
