@@ -248,6 +248,29 @@ def test_site_lines_match_brute_force(spark, shard):
             assert clean[i] == (t and "\n".join(x for n, x in enumerate(t.split("\n"), 1) if (i, n) not in gone))
 
 
+@pytest.mark.parametrize("least", [1, 2, 5])
+def test_the_size_of_a_site_changes_no_line(spark, least):
+    """Cut sites and uncut ones, sets and joins: the same lines, whatever the ids; of one id, as the SQL has it, all rows lose what any does."""
+    sites = spark.createDataFrame([("a.example",)], "domain string")
+    shared = [f"shared {c}" for c in "abc"]
+    rows = [(i, "\n".join([f"own {chr(97 + i)} line", *shared[: i % 4], "12"])) for i in range(12)]
+    rows += [(3, "top\nown p line\nshared b\nend"), (3, None), (5, rows[5][1]), (None, "shared a\nshared b"), (20, "shared a\nshared a")]
+    df = spark.createDataFrame([(i, t, "https://a.example/x") for i, t in rows], "doc_id bigint, text string, url string")
+    lines = sitelines.site_lines(df, "doc_id", "text", "url", sites)
+    found = [sorted(map(tuple, sitelines.repeated_lines(lines, least, shard).collect())) for shard in (400_000, 7)]
+    assert found[0] == found[1]
+    blocks = sitelines.repeated_blocks(lines, least)
+    gone = {}
+    for i, n in found[0]:
+        gone.setdefault(i, set()).add(n)
+    if least == 1:
+        assert len(found[0]) == sum(any(c.isalpha() for c in x) for i, t in rows if i is not None and t for x in t.split("\n"))
+    want = [(i, t and "\n".join(x for n, x in enumerate(t.split("\n"), 1) if n not in gone.get(i, ()))) for i, t in rows]
+    for most in (1_000_000, 0):
+        got = [tuple(r) for r in sitelines.without_lines(df, "doc_id", "text", "url", sites, blocks, most=most).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_site_lines_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string, url string")
     sites = spark.createDataFrame([("a.example",)], "domain string")
