@@ -1,5 +1,6 @@
 """The entry module: names, schemas, and that the rest stands without the text operators."""
 
+import os
 import subprocess
 import sys
 from pathlib import Path
@@ -62,3 +63,21 @@ def test_every_query_equals_its_sql(spark):
 def test_core_does_not_import_the_text_operators():
     code = "import sys; sys.modules['loomspark.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'p5_found' in q and 'p1_found' not in q; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
+
+
+def test_database_scan_on_executors_of_their_own(tmp_path):
+    """The database is read by other processes than the driver's; nulls, quotes, line ends and a null key stay."""
+    code = f"""
+import sys
+from pyspark.sql import SparkSession
+import __spark_entry__ as e
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.executor.memory", "1024m").config("spark.driver.host", "127.0.0.1").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+rows = [(i, f"name {{i}}") for i in range(50)] + [(50, None), (51, ""), (52, 'a "b", c'), (53, "x\\ny"), (54, "\u00e9" * 99), (None, "no key")]
+spark.createDataFrame(rows, "s_suppkey int, s_name string").write.parquet("file://{tmp_path}/supplier.parquet")
+got = e.queries()["sql_cursor_scan"](spark, "file://{tmp_path}")
+assert got.dtypes == [("s_suppkey", "int"), ("s_name", "string")]
+assert sorted(map(tuple, got.collect()), key=str) == sorted(rows, key=str)
+print("same rows", flush=True)
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, env={**os.environ, "PYTHONPATH": str(ROOT)}, capture_output=True, text=True, timeout=300)
+    assert "same rows" in done.stdout, done.stderr[-3000:]
