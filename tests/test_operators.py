@@ -232,6 +232,27 @@ def test_ratio():
     assert math.isclose(entities.ratio("kitten", "sitting"), 200 * 4 / 13)
 
 
+def test_fuzzy_link_one_letter_away(spark, monkeypatch):
+    """Names with a letter more or less find theirs without a comparison of pairs, the one that all pairs give."""
+    r = random.Random(6)
+    known = sorted({"".join(r.choices("abé", k=r.randint(2, 11))) for _ in range(150)})
+    names = sorted({x for w in known for i in (0, len(w) // 2, len(w) - 1) for x in (w[:i] + w[i + 1 :], w[:i] + r.choice("abx") + w[i:]) if len(x) != 3})
+    k, n = spark.createDataFrame([(w, w) for w in known], "w string, q string"), spark.createDataFrame([(x,) for x in names], "n string")
+
+    def none(*_):
+        raise AssertionError("pairs are compared")
+
+    monkeypatch.setattr(entities, "similarity", none)
+    for least in (66.0, 85.0):
+        got = {x["name"]: (x["matched"], x["score"]) for x in entities.fuzzy_link(n, "n", k, "w", "q", least).collect()}
+        want = {}
+        for x in names:
+            score, w = max(((round(entities.ratio(x, w), 6), w) for w in known), key=lambda s: (s[0], [-ord(c) for c in s[1]] + [-0x110000]))
+            if x in known or len(x) >= 4 and score >= least:
+                want[x] = (x, 100.0) if x in known else (w, score)
+        assert got == want
+
+
 def test_fuzzy_link_equals_all_pairs(spark):
     r = random.Random(2)
     known = sorted({"".join(r.choices("abcd", k=r.randint(3, 9))) for _ in range(80)})
