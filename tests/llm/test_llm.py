@@ -62,6 +62,26 @@ def test_pairs_match_brute_force(spark, bucket):
     assert set(pairs) == similar(enumerate(texts), 0.5)
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 28])
+def test_texts_and_sets_are_chosen_without_a_shuffle(spark, monkeypatch, bits):
+    """Beyond what is broadcast as well; a sieve too small for its ids lets more through and changes no pair."""
+    monkeypatch.setattr(neardup, "SIEVE_BITS", bits)
+    texts = versions()
+    df = frame(spark, texts)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        ids = spark.createDataFrame([(i,) for i in (10, 11, 30)], "id bigint")
+        sets = neardup.shingle_sets(df, "doc_id", "text", ids)
+        assert "Exchange" not in sets._jdf.queryExecution().executedPlan().toString()
+        found = {r["id"]: len(r["s"]) for r in sets.collect()}
+        assert {10, 11, 30} <= set(found) and all(n == len(shingles(texts[i])) for i, n in found.items())
+        got = [tuple(r) for r in neardup.similar_pairs(df, "doc_id", "text", 0.5, 1).collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(got) == len(set(got)) and set(got) == similar(list(enumerate(texts)), 0.5)
+
+
 def test_no_bucket_size_loses_a_pair_at_the_threshold(spark):
     """Families of 30 and pairs of similarity 0.50 to 0.55, boilerplate on every text: all found whatever BUCKET is."""
     r, texts = random.Random(12), []
